@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, simhash, tiff, warc
+from millrace.llm import langid, mixing, secrets, simhash, tiff, warc
 from millrace.llm.shared import fresh_path, table
 
 
@@ -22,6 +22,15 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16().alias("fingerprint"), "component_id")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.replicate(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "text", "lang", "source", "n_chars", "copy_no", F.round("rate", 6).alias("rate"), "shuffle_key")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -42,4 +51,7 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_language_id": op2_language_id, "op3_simhash_dedup": op3_simhash_dedup, "op7_warc": op7_warc, "op10_tiff": op10_tiff}
+    return {
+        "op2_language_id": op2_language_id, "op3_simhash_dedup": op3_simhash_dedup, "op4_secret_scan": op4_secret_scan,
+        "op6_source_mixing": op6_source_mixing, "op7_warc": op7_warc, "op10_tiff": op10_tiff,
+    }
