@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, mixing, secrets, simhash, tiff, warc
+from millrace.llm import decontam, langid, mixing, quality, secrets, simhash, tiff, warc
 from millrace.llm.shared import fresh_path, table
 
 
@@ -26,6 +26,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.replicate(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "text", "lang", "source", "n_chars", "copy_no", F.round("rate", 6).alias("rate"), "shuffle_key")
@@ -40,6 +44,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = tiff.store_texts(table(spark, sf_dir, "documents"))
     stored = stored.withColumns({"media_bytes": F.octet_length("media").cast("bigint"), "media_sha256": F.sha2("media", 256)})
@@ -52,6 +60,6 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op2_language_id": op2_language_id, "op3_simhash_dedup": op3_simhash_dedup, "op4_secret_scan": op4_secret_scan,
-        "op6_source_mixing": op6_source_mixing, "op7_warc": op7_warc, "op10_tiff": op10_tiff,
+        "op2_language_id": op2_language_id, "op3_simhash_dedup": op3_simhash_dedup, "op4_secret_scan": op4_secret_scan, "op5_decontamination": op5_decontamination,
+        "op6_source_mixing": op6_source_mixing, "op7_warc": op7_warc, "op8_quality": op8_quality, "op10_tiff": op10_tiff,
     }
