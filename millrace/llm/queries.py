@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontam, langid, mixing, quality, secrets, simhash, tiff, warc
+from millrace.llm import decontam, extract, langid, mixing, quality, secrets, simhash, tiff, toxicity, warc
 from millrace.llm.shared import fresh_path, table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.fit(docs))
@@ -48,6 +52,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = tiff.store_texts(table(spark, sf_dir, "documents"))
     stored = stored.withColumns({"media_bytes": F.octet_length("media").cast("bigint"), "media_sha256": F.sha2("media", 256)})
@@ -60,6 +69,6 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op2_language_id": op2_language_id, "op3_simhash_dedup": op3_simhash_dedup, "op4_secret_scan": op4_secret_scan, "op5_decontamination": op5_decontamination,
-        "op6_source_mixing": op6_source_mixing, "op7_warc": op7_warc, "op8_quality": op8_quality, "op10_tiff": op10_tiff,
+        "op1_html_extraction": op1_html_extraction, "op2_language_id": op2_language_id, "op3_simhash_dedup": op3_simhash_dedup, "op4_secret_scan": op4_secret_scan, "op5_decontamination": op5_decontamination,
+        "op6_source_mixing": op6_source_mixing, "op7_warc": op7_warc, "op8_quality": op8_quality, "op9_toxicity": op9_toxicity, "op10_tiff": op10_tiff,
     }
