@@ -28,6 +28,8 @@ UNKNOWN = "und"
 FIT_ROWS = 1_500
 #: Labels beyond this number can't be languages; the fit refuses them.
 MOST_LANGUAGES = 2_000
+#: Trigrams from which on a low score counts against a text.
+ENOUGH = 40
 #: Trigram vectors that a worker keeps.
 CACHE_ROWS = 32_768
 
@@ -169,21 +171,27 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     return pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, least: float) -> DataFrame:
-    """``docs`` without the rows whose text has no letters or is unlike every language (score under ``least``).
+def keep_identified(docs: DataFrame, least: float, enough: int = ENOUGH) -> DataFrame:
+    """``docs`` without the rows whose text has no letters or is unlike every language.
 
-    The model is fitted on ``docs`` itself, as ``fit`` says.  The columns stay as they are.
+    The latter have ``enough`` trigrams or more and a cosine under ``least`` with
+    every prototype; fewer trigrams tell too little to reject a text.  The model
+    is fitted on ``docs`` itself, as ``fit`` says; without a labelled row only
+    texts without letters go.  The columns stay as they are.
     """
     names, prototypes = fit(docs)
     small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def known(text: str | None) -> bool:
+        n = len(trigrams(text)) if text else 0
+        if n < enough or not names:
+            return n > 0
+        v = _bundler().bundle(text)
+        return float((prototypes @ v).max()) >= least * float(np.linalg.norm(v))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for text in batch.column(at).to_pylist():
-                v = _bundler().bundle(text) if text and names else None
-                keep.append(v is not None and float((prototypes @ v).max()) >= least * float(np.linalg.norm(v)))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array([known(x) for x in batch.column(at).to_pylist()], pa.bool_()))
 
-    at = docs.columns.index("text")
     return docs.mapInArrow(run, docs.schema)
