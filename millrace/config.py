@@ -50,3 +50,8 @@ class Answers:
     final_k: int = 3
     use_reranking: bool = True
     similarity_threshold: float | None = None
+
+
+def missing_parts(there: set[str]) -> list[str]:
+    """What an index folder with the entries ``there`` lacks before it can answer questions."""
+    return [part for part in ("vectors", "manifest") if part not in there]

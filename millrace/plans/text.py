@@ -163,19 +163,31 @@ _IMAGE = r"""'!\[([^\]]*)\]\(([^\)\s]+)(?:\s+"([^"]+)")?\)'"""
 _LINK = r"'\[([^\]]+)\]\(([^\)]+)\)'"
 _PIECES = f"p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[.!?]\\s+'), lambda x: {_S('x')}), lambda x: x <> '') AS s FROM documents)"
 _TITLE = f"coalesce({_S('''substr(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: starts_with(x, '# '))[1], 3)''')}, 'Document technique')"
-_CHUNKS = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM documents),
-u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
-e AS (SELECT doc_id, i, sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS ending FROM u),
-c AS (SELECT doc_id, list(CAST(ending AS BIGINT) ORDER BY i) AS ends FROM e GROUP BY doc_id),
+_PARAGRAPHS = f"""d AS ({SPACED_DOCS}), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+f AS (SELECT doc_id, {_S('x')} AS x, i FROM l WHERE {_S('x')} <> ''), n AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 2 THEN 1 ELSE 0 END AS new FROM f),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM n), p AS (SELECT doc_id, k, string_agg(x, chr(10) ORDER BY i) AS t FROM g GROUP BY doc_id, k)"""
+
+
+def _chunks(before: str, texts: str) -> str:
+    """Common table expressions up to cut (doc_id, part, chunk_index, c): runs of words, one step of the recursion for each."""
+    return f"""WITH RECURSIVE {before}
+w AS (SELECT doc_id, part, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM ({texts})),
+u AS (SELECT doc_id, part, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+e AS (SELECT doc_id, part, i, sum(length(word) + 1) OVER (PARTITION BY doc_id, part ORDER BY i) AS ending FROM u),
+c AS (SELECT doc_id, part, list(CAST(ending AS BIGINT) ORDER BY i) AS ends FROM e GROUP BY doc_id, part),
 r AS (
-    SELECT doc_id, 0 AS k, CAST(0 AS BIGINT) AS start, CAST(greatest(1, len(list_filter(ends, lambda x: x <= 1000)), len(list_filter(ends, lambda x: x < 301)) + 1) AS BIGINT) AS stop FROM c
+    SELECT doc_id, part, 0 AS k, CAST(0 AS BIGINT) AS start, CAST(greatest(1, len(list_filter(ends, lambda x: x <= 1000)), len(list_filter(ends, lambda x: x < 301)) + 1) AS BIGINT) AS stop FROM c
     UNION ALL
-    SELECT doc_id, k, start, CAST(greatest(old + 1, len(list_filter(ends, lambda x: x <= base + 1000)), len(list_filter(ends, lambda x: x < base + 301)) + 1) AS BIGINT)
+    SELECT doc_id, part, k, start, CAST(greatest(old + 1, len(list_filter(ends, lambda x: x <= base + 1000)), len(list_filter(ends, lambda x: x < base + 301)) + 1) AS BIGINT)
     FROM (SELECT *, CASE WHEN start = 0 THEN 0 ELSE ends[start] END AS base
-          FROM (SELECT r.doc_id, r.k + 1 AS k, r.stop AS old, ends, CAST(greatest(r.start, len(list_filter(ends, lambda x: x <= ends[r.stop] - 100))) AS BIGINT) AS start FROM r JOIN c USING (doc_id) WHERE r.stop < len(ends)))
+          FROM (SELECT r.doc_id, r.part, r.k + 1 AS k, r.stop AS old, ends, CAST(greatest(r.start, len(list_filter(ends, lambda x: x <= ends[r.stop] - 100))) AS BIGINT) AS start FROM r JOIN c USING (doc_id, part) WHERE r.stop < len(ends)))
 ),
-t AS (SELECT r.doc_id, CAST(k AS INTEGER) AS chunk_index, array_to_string(ws[start + 1 : least(stop, len(ws))], ' ') AS c FROM r JOIN w USING (doc_id)),
-f AS (SELECT * FROM t WHERE length(c) >= 300)"""
+t AS (SELECT r.doc_id, part, CAST(k AS INTEGER) AS chunk_index, array_to_string(ws[start + 1 : least(stop, len(ws))], ' ') AS c FROM r JOIN w USING (doc_id, part)),
+cut AS (SELECT * FROM t WHERE length(c) >= 300)"""
+
+
+_CHUNKS = _chunks("", "SELECT doc_id, 0 AS part, text FROM documents")
+_PART_CHUNKS = _chunks(_PARAGRAPHS + ",", "SELECT doc_id, k AS part, t AS text FROM p WHERE length(t) > 1500")
 
 QUERIES = {
     "clean_text": (clean_text, f"SELECT doc_id, CAST(length(c) AS INTEGER) AS n_chars, md5(c) AS text_md5 FROM (SELECT doc_id, {_S(_ONE_SPACE)} AS c FROM documents)"),
@@ -206,16 +218,21 @@ QUERIES = {
     ),
     "paragraph_islands": (
         paragraph_islands,
-        f"WITH d AS ({SPACED_DOCS}), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d), "
-        f"f AS (SELECT doc_id, {_S('x')} AS x, i FROM l WHERE {_S('x')} <> ''), n AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 2 THEN 1 ELSE 0 END AS new FROM f), "
-        "g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM n), p AS (SELECT doc_id, k, string_agg(x, chr(10) ORDER BY i) AS t FROM g GROUP BY doc_id, k) "
+        f"WITH {_PARAGRAPHS} "
         "SELECT doc_id, CAST(k AS INTEGER) AS pos, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS paragraph_md5 FROM p",
     ),
     "chunk_route_counts": (chunk_route_counts, "SELECT CASE WHEN length(text) <= 1500 THEN 'single' ELSE 'semantic' END AS route, count(*) AS n FROM documents GROUP BY 1"),
-    "size_chunks": (size_chunks, f"{_CHUNKS} SELECT doc_id, chunk_index, CAST(length(c) AS INTEGER) AS n_chars, md5(c) AS chunk_md5 FROM f"),
-    "size_chunk_stats": (size_chunk_stats, f"{_CHUNKS} SELECT count(*) AS chunks, CAST(min(length(c)) AS INTEGER) AS shortest, CAST(max(length(c)) AS INTEGER) AS longest, CAST(sum(length(c)) AS BIGINT) AS total_chars FROM f"),
+    "size_chunks": (size_chunks, f"{_CHUNKS} SELECT doc_id, chunk_index, CAST(length(c) AS INTEGER) AS n_chars, md5(c) AS chunk_md5 FROM cut"),
+    "size_chunk_stats": (size_chunk_stats, f"{_CHUNKS} SELECT count(*) AS chunks, CAST(min(length(c)) AS INTEGER) AS shortest, CAST(max(length(c)) AS INTEGER) AS longest, CAST(sum(length(c)) AS BIGINT) AS total_chars FROM cut"),
     "semantic_chunks": (semantic_chunks, None),
-    "document_chunks": (document_chunks, None),
+    "document_chunks": (
+        document_chunks,
+        f"{_PART_CHUNKS}, a AS (SELECT doc_id, part, chunk_index, c FROM cut UNION ALL SELECT doc_id, k, 0, t FROM p WHERE length(t) BETWEEN 300 AND 1500), "
+        "o AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part, chunk_index) - 1 AS INTEGER) AS idx, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS total FROM a), "
+        "s AS (SELECT *, regexp_replace(c, '\\s+', ' ', 'g') AS content, md5(concat('docs/', doc_id, '_', substr(c, 1, 100))) AS legacy FROM o) "
+        "SELECT concat('docs/', doc_id) AS source_file, content, legacy AS legacy_id, CAST(length(c) AS INTEGER) AS char_count, CAST(len(string_split(content, ' ')) AS INTEGER) AS word_count, idx AS chunk_index, total AS total_chunks, md5(concat(legacy, '_', idx)) AS chunk_id "
+        "FROM s WHERE length(content) >= 300",
+    ),
     "markdown_title": (markdown_title, f"{_MD} SELECT doc_id, {_TITLE} AS title FROM md"),
     "markdown_sections": (markdown_sections, f"{_SECTIONS} SELECT path, start_line, level, heading, CAST(length(body) AS INTEGER) AS body_length, md5(body) AS body_md5 FROM sec"),
     "markdown_chunks": (

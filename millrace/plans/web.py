@@ -29,7 +29,7 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def html_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of every page by tag."""
-    return html.nodes(_pages(spark, sf_dir)).groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
+    return html.nodes(_pages(spark, sf_dir)).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 def html_sections_(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +117,11 @@ _FOUND = f"{_HREFS}, f AS (SELECT DISTINCT concat(origin, {_DECODED.format('href
 QUERIES = {
     "html_title": (html_title, f"SELECT page_id, {_STRIP(_DECODED.format(_TITLE))} AS title FROM pages"),
     "html_links": (html_links, f"WITH {_HREFS} SELECT page_id, CAST(generate_subscripts(hrefs, 1) - 1 AS INTEGER) AS pos, {_DECODED.format('unnest(hrefs)')} AS href FROM h"),
-    "html_nodes": (html_nodes, None),
+    "html_nodes": (
+        html_nodes,
+        "WITH x AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style)[^>]*>.*?</(script|style)>', '<\\1>', 'g') AS h FROM pages) "
+        "SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, lower(unnest(regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM x) GROUP BY page_id, tag",
+    ),
     "html_sections": (html_sections_, None),
     "html_main_content": (html_main_content, None),
     "html_markdown": (html_markdown, None),

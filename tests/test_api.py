@@ -7,6 +7,7 @@ import pytest
 from millrace import api
 from millrace.operators import integrity, retrieval
 from millrace.sources import files
+from millrace.streaming.answers import chat
 
 WORDS = "the concrete mixture needs water and cement in the right amounts before it is poured into the form "
 
@@ -64,7 +65,7 @@ def test_index_and_ask(spark, folder, tmp_path):
     plain = api.ask_rag_question(spark, vectors, "How much water does concrete need?", 1, use_reranking=False)
     assert "Score: " in plain and "Reranking" not in plain
     assert api.ask_rag_question(spark, vectors.limit(0), "anything") == retrieval.NOTHING_FOUND
-    grown = list(api.chat(spark, vectors, "water", [{"role": "user", "content": "hi", "metadata": None}]))
+    grown = list(chat(spark, vectors, "water", [{"role": "user", "content": "hi", "metadata": None}]))
     assert len(grown) > 3 and grown[-1][-1]["metadata"] == {"title": "sources"} and grown[0][0]["content"] == "hi"
 
 
