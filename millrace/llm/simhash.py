@@ -191,11 +191,13 @@ def shard_links(fps: np.ndarray, home: np.ndarray, q: int, radius: int = RADIUS)
     """A spanning forest of a shard: pairs of fingerprints, fewer than there are fingerprints."""
     order = np.argsort(~home, kind="stable")
     fps, first = np.unique(fps[order], return_index=True)
+    fps = fps.view(np.uint64)  # bits are counted of the absolute value of signed numbers
     home = home[order][first]
     sets = _Sets(len(fps))
     everyone = np.arange(len(fps))
     _search(fps, everyone[home], everyone, q, tuple(x for x in range(4) if x != q), sets, radius)
-    return np.array([(fps[a], fps[b]) for a, b in sets.links], np.int64).reshape(-1, 2)
+    pairs = np.array(sets.links, np.int64).reshape(-1, 2)
+    return fps.view(np.int64)[pairs]
 
 
 def links(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
