@@ -160,9 +160,12 @@ def _sweep(fps: np.ndarray, home: np.ndarray, all_: np.ndarray, sets: _Sets, rad
 def _search(fps: np.ndarray, home: np.ndarray, all_: np.ndarray, q: int, left: tuple[int, ...], sets: _Sets, radius: int) -> None:
     """Link each of ``home`` to the partners among ``all_`` by a tree over quarter ``q``.
 
-    Where a quarter can't be split any more, trees over the quarters ``left`` go on.
+    Where a quarter can't be split any more, trees over the quarters ``left`` go
+    on.  Of ``m`` quarters that are still to come, one at least differs in no
+    more than a ``m``-th of ``radius``: that is how far the tree reaches.
     """
     value = _quarter(fps, q)
+    reach = radius // (len(left) + 1)
     stack = [(home, all_)]
     while stack:
         home, all_ = stack.pop()
@@ -176,11 +179,11 @@ def _search(fps: np.ndarray, home: np.ndarray, all_: np.ndarray, q: int, left: t
             continue
         pivot, mu = _vantage(value[home])
         dh, da = np.bitwise_count(value[home] ^ np.uint16(pivot)), np.bitwise_count(value[all_] ^ np.uint16(pivot))
-        parts = [(home[dh <= mu], all_[da <= mu + 1]), (home[dh > mu], all_[da >= mu])]
+        parts = [(home[dh <= mu], all_[da <= mu + reach]), (home[dh > mu], all_[da > mu - reach])]
         if max(len(h) * len(a) for h, a in parts) > 0.9 * len(home) * len(all_):
             if left:
                 for at, other in enumerate(left):
-                    _search(fps, home, all_, other, left[:at] + left[at + 1 :] if len(left) > 2 else (), sets, radius)
+                    _search(fps, home, all_, other, left[:at] + left[at + 1 :], sets, radius)
             else:
                 _sweep(fps, home, all_, sets, radius)
             continue
