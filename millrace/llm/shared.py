@@ -46,7 +46,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage: a lost executor costs a reread of files, not a
     recomputation, and several consumers share one evaluation.
     """
-    path = fresh_path(df.sparkSession, label)
+    return written(df, fresh_path(df.sparkSession, label))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a Parquet table at ``path``, of which the caller can dispose."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

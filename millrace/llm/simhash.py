@@ -29,7 +29,7 @@ from millrace.llm.shared import materialize, pick, small_batches
 
 RADIUS = 4
 #: Fingerprints for which a shard is home, on average, at most.
-SHARD_ROWS = 65_536
+SHARD_ROWS = 262_144
 #: Fingerprints the driver sees to place boundaries; a bound, whatever the input.
 SAMPLE_ROWS = 16_384
 LEAST_DEPTH = 3
