@@ -110,9 +110,11 @@ def tile(item: np.ndarray, doc: np.ndarray, p: np.ndarray, q: np.ndarray, k: int
     for j in range(k):
         same &= item[p + j] == doc[q + j]
     p, q = p[same], q[same]
+    if not len(p):
+        return []
     order = np.lexsort((p, q - p))
     p, q = p[order], q[order]
-    new = np.flatnonzero(np.concatenate(([True], (np.diff(q - p) != 0) | (np.diff(p) != 1)))) if len(p) else p
+    new = np.flatnonzero(np.concatenate(([True], (np.diff(q - p) != 0) | (np.diff(p) != 1))))
     ends = np.append(new[1:], len(p))
     heap = [(-int(e - s + k - 1), int(p[s]), int(q[s])) for s, e in zip(new, ends, strict=True)]
     heapq.heapify(heap)
