@@ -46,7 +46,7 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, power
     ``weights`` gives target weights by source, scaled to sum to one (a source that it
     leaves out has weight 0); by default a weight is the document count to ``power``.
     """
-    counts = docs.groupBy("source").agg(F.count("*").alias("n"))
+    counts = materialize(docs.groupBy("source").agg(F.count("*").alias("n")), "sources")
     if weights is None:
         weighed = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(float(power))))
     else:
@@ -54,9 +54,9 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, power
         for name, weight in weights.items():
             w = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(weight))).otherwise(w)
         weighed = counts.withColumn("w", w)
-    totals = weighed.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
-    found = weighed.crossJoin(F.broadcast(totals))  # one row
-    found = found.withColumn("rate", F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w") * F.col("all_n") / F.col("n")).otherwise(0.0))
+    total = weighed.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
+    rate = F.col("w") / F.lit(total["w"]) * F.lit(total["n"]) / F.col("n") if total["w"] else F.lit(0.0)
+    found = weighed.withColumn("rate", rate)
     found = found.withColumn("chunks", F.greatest(F.lit(1), F.ceil(F.col("rate") / CHUNK)).cast("int"))
     return found.select("source", "n", "rate", "chunks", _cdf(F.col("rate") / F.col("chunks")).alias("cdf"))
 
