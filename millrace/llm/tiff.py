@@ -24,6 +24,10 @@ _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12
 _CODES = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 
 
+#: No compression read here grows its bytes by more than about this.
+MOST_GROWTH = 1500
+
+
 class TiffError(ValueError):
     """The bytes aren't a TIFF that this reader understands."""
 
@@ -221,6 +225,8 @@ def decode_page(data: bytes, order: str, tags: dict[int, tuple]) -> dict:
     bits, compression, predictor, planar = one(258, 1), one(259, 1), one(317, 1), one(284, 1)
     if bits not in (8, 16) or compression not in _UNPACK or predictor not in (1, 2) or not wide or not high:
         raise TiffError(f"not supported: {bits} bits, compression {compression}, predictor {predictor}, {wide} x {high}")
+    if wide * high * samples * bits // 8 > MOST_GROWTH * len(data) + 65536:
+        raise TiffError("a page is larger than its bytes can hold")
     kind = np.dtype(f"{order}u{bits // 8}")
     tiled = 324 in tags
     across, down = (one(322, 0), one(323, 0)) if tiled else (wide, min(one(278, high), high))
