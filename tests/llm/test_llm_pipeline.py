@@ -10,11 +10,16 @@ from millrace.llm.shared import materialize
 
 
 @pytest.fixture(scope="module")
-def stages(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet")
+def folder():
+    return "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def stages(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
     out = [docs]
     for name, f in C.STAGES:
-        out.append(materialize(f(spark, out[-1], small), name))
+        out.append(materialize(f(spark, out[-1], folder), name))
     return out
 
 
@@ -28,7 +33,7 @@ def texts(df):
     return {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
 
 
-def test_each_stage_is_brute_force(spark, small, stages):
+def test_each_stage_is_brute_force(spark, folder, stages):
     from test_llm_simhash import slow_classes
 
     docs, known, single, clean, masked, _ = map(texts, stages)
@@ -42,7 +47,7 @@ def test_each_stage_is_brute_force(spark, small, stages):
     assert set(known) == {d for d, t in docs.items() if fits(t)}
     least = slow_classes(sorted(known.items()))
     assert set(single) == {c for _, c in least.values()}
-    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     seeds = decontam.Seeds(items)
     assert set(clean) == {d for d, t in single.items() if not seeds.leaks(t)} and len(clean) < len(single)
     spans = {r["doc_id"]: r["spans"] for r in secrets.scan(stages[3]).collect()}
@@ -51,9 +56,9 @@ def test_each_stage_is_brute_force(spark, small, stages):
     assert any(secrets.MASK in t for t in masked.values())
 
 
-def test_run_is_the_stages(spark, small, stages):
+def test_run_is_the_stages(spark, folder, stages):
     key = lambda df: sorted(hashlib.md5(repr((r["doc_id"], r["copy_no"], r["text"])).encode()).hexdigest() for r in df.select("doc_id", "copy_no", "text").collect())
-    assert key(C.run(spark, small)) == key(stages[-1])
+    assert key(C.run(spark, folder)) == key(stages[-1])
     assert C.ORACLE_SQL is None
 
 

@@ -2,7 +2,7 @@ import numpy as np
 
 from millrace.llm import toxicity as X
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 
 
 def test_half_predicts_the_other_half(spark):
