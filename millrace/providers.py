@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 from functools import lru_cache
 from typing import Protocol
 
@@ -102,3 +103,14 @@ class FirstSentences:
 
     def column(self, question: Column, context: Column, first_content: Column) -> Column:
         return keep_head(first_content, self.most, "...")
+
+
+def first_available(*factories: Callable[[], Embedder]) -> Embedder:
+    """The first embedder that loads; its dimension is that of the index, so fallbacks can't be mixed into one."""
+    failures = []
+    for make in factories:
+        try:
+            return make()
+        except (ImportError, OSError, RuntimeError, ValueError) as e:
+            failures.append(f"{type(e).__name__}: {e}")
+    raise RuntimeError("no embedder could be loaded: " + "; ".join(failures))

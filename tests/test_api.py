@@ -3,9 +3,11 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace import api
 from millrace.operators import integrity, retrieval
+from millrace.providers import HashingEmbedder, embed, first_available
 from millrace.sources import files
 from millrace.streaming.answers import chat
 
@@ -88,3 +90,22 @@ def test_rerankers(spark):
     assert order(neutral) == [1, 2, 3] and {r["rerank_score"] for r in neutral.collect()} == {0.5}
     none = retrieval.rerank(hits, q, None, 2)
     assert order(none) == [1, 2] and {r["reranked"] for r in none.collect()} == {False}
+
+
+def test_first_available_embedder():
+    def absent():
+        raise ImportError("no such model")
+
+    assert first_available(absent, HashingEmbedder).dimension == 64
+    with pytest.raises(RuntimeError, match="no such model"):
+        first_available(absent)
+    assert HashingEmbedder(8).encode(["a b a", "", None]).sum(axis=1).tolist() == [3, 0, 0]
+
+
+def test_wrong_vectors_are_an_error(spark):
+    class Wrong(HashingEmbedder):
+        def encode(self, texts, is_query=False):
+            return super().encode(texts)[:, :3]
+
+    with pytest.raises(Exception, match="the embedder gave"):
+        spark.createDataFrame([("a",)], "t string").select(embed(Wrong(), F.col("t"))).collect()
