@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"(?U)[\s\x1c-\x1f]"
@@ -20,6 +20,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def each(df: DataFrame, array: Column, pos: str, value: str, *keep: str) -> DataFrame:
+    """A row for each entry of ``array``, with the columns ``keep``.
+
+    The outer form of the generator, as the inner one gets a filter on the size
+    of the array, for which the array is worked out a second time.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, value)).where(F.col(pos).isNotNull())
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, rf"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")

@@ -80,15 +80,27 @@ def rerank(hits: DataFrame, questions: DataFrame, reranker: Reranker | None, k:
     return scored.withColumn("reranked", F.lit(True)).withColumn("final_rank", F.row_number().over(order)).where(F.col("final_rank") <= k)
 
 
-def _in_order(hits: DataFrame, line: Column, joiner: str, name: str) -> DataFrame:
-    rows = F.array_sort(F.collect_list(F.struct(F.col("final_rank").alias("r"), line.alias("t"))))
-    return hits.groupBy("query_id").agg(F.array_join(F.transform(rows, lambda x: x["t"]), joiner).alias(name))
+def _in_order(hits: DataFrame, lines: dict[str, tuple[Column, str]]) -> DataFrame:
+    """(query_id, and for each name the lines in final order with their joiner between), of at most ``k`` rows for each query."""
+    row = F.struct(F.col("final_rank").alias("r"), *[line.alias(n) for n, (line, _) in lines.items()])
+    got = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("__rows"))
+    joined = [F.array_join(F.col("__rows")[n], joiner).alias(n) for n, (_, joiner) in lines.items()]
+    return got.select("query_id", *joined)
+
+
+def _context_line() -> Column:
+    return F.concat(F.lit("[Document "), F.col("final_rank").cast("string"), F.lit("] "), F.col("title"), F.lit(" - "), F.col("heading"), F.lit("\n"), F.col("content"))
 
 
 def context(hits: DataFrame) -> DataFrame:
-    """(query_id, context): the hits in final order, numbered; at most ``k`` rows for each query."""
-    line = F.concat(F.lit("[Document "), F.col("final_rank").cast("string"), F.lit("] "), F.col("title"), F.lit(" - "), F.col("heading"), F.lit("\n"), F.col("content"))
-    return _in_order(hits, line, "\n\n", "context")
+    """(query_id, context): the hits in final order, numbered."""
+    return _in_order(hits, {"context": (_context_line(), "\n\n")})
+
+
+def assembled(hits: DataFrame) -> DataFrame:
+    """(query_id, context, sources, first): all that is made of the hits, in one pass over them; first is the best hit's content."""
+    best = F.when(F.col("final_rank") == 1, F.col("content"))
+    return _in_order(hits, {"context": (_context_line(), "\n\n"), "sources": (_source_line(False), "\n"), "first": (best, "")})
 
 
 def prompt(question: Column, context_: Column, streaming: bool = False) -> Column:
@@ -100,18 +112,20 @@ def _number(x: Column) -> Column:
     return F.format_string("%.3f", F.round(x, 3))
 
 
-def source_lines(hits: DataFrame, streaming: bool = False) -> DataFrame:
-    """(query_id, sources): a block of lines for each hit, with its scores and, if it moved, its ranks."""
+def _source_line(streaming: bool) -> Column:
     both = F.concat(F.lit("Embedding: "), _number(F.col("embedding_score")), F.lit(" | **Reranking: "), _number(F.col("rerank_score")), F.lit("**"))
     scores = F.when(F.col("reranked"), both).otherwise(F.concat(F.lit("Score: "), _number(F.col("embedding_score"))))
     n = F.col("final_rank").cast("string")
     head = F.concat(F.lit("• **["), n, F.lit("]** "), F.col("title"))
     if streaming:
-        line = F.concat(head, F.lit(" ("), F.col("source"), F.lit(")\n  └ "), scores)
-    else:
-        moved = F.when(F.col("reranked") & (F.col("initial_rank") != F.col("final_rank")), F.concat(F.lit(" (#"), F.col("initial_rank").cast("string"), F.lit("→#"), n, F.lit(")"))).otherwise("")
-        line = F.concat(head, moved, F.lit("\n  └ "), scores, F.lit("\n  └ Source: "), F.col("source"))
-    return _in_order(hits, line, "\n", "sources")
+        return F.concat(head, F.lit(" ("), F.col("source"), F.lit(")\n  └ "), scores)
+    moved = F.when(F.col("reranked") & (F.col("initial_rank") != F.col("final_rank")), F.concat(F.lit(" (#"), F.col("initial_rank").cast("string"), F.lit("→#"), n, F.lit(")"))).otherwise("")
+    return F.concat(head, moved, F.lit("\n  └ "), scores, F.lit("\n  └ Source: "), F.col("source"))
+
+
+def source_lines(hits: DataFrame, streaming: bool = False) -> DataFrame:
+    """(query_id, sources): a block of lines for each hit, with its scores and, if it moved, its ranks."""
+    return _in_order(hits, {"sources": (_source_line(streaming), "\n")})
 
 
 def answer_text(answer: Column, sources: Column, reranked: bool) -> Column:

@@ -24,15 +24,10 @@ BLOCK_BYTES = 16 << 20
 RANK_DECIMALS = 9
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of equal, full length as a matrix, and which rows these are."""
-    lengths = np.array([len(x) if x is not None else -1 for x in column.to_pylist()]) if column.null_count else np.diff(column.offsets.to_numpy())
-    return lengths, column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-
-
 def _rows(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, vectors) of the rows with ``dimension`` numbers; others can't be compared."""
-    lengths, flat = _matrix(column)
+    lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # without null rows
     ok = lengths == dimension
     if ok.all():
         return np.arange(len(lengths)), flat.reshape(-1, dimension)
@@ -72,14 +67,16 @@ class _Best:
 
 def _blocks(queries: DataFrame, qid: str, vector: str) -> Iterator[tuple[list[int], np.ndarray]]:
     """The queries, block by block; each is small enough for driver and tasks."""
-    rows = queries.select(F.col(qid).cast("bigint").alias("q"), F.col(vector).alias("v")).where("v is not null")
+    rows = queries.select(F.col(qid).cast("bigint").alias("q"), F.col(vector).alias("v"))
     size, widest = rows.agg(F.coalesce(F.sum(F.size("v") * 8), F.lit(0)), F.max(F.size("v"))).first()
+    size = max(0, size)
     n = max(1, -(-size // BLOCK_BYTES))
     for b in range(n):
         got = rows.where(F.pmod(F.xxhash64("q"), F.lit(n)) == b) if n > 1 else rows
         got = got.where(F.size("v") == (widest or 0)).orderBy("q").toArrow()
-        if got.num_rows:
-            yield got["q"].to_pylist(), _rows(got["v"].combine_chunks(), widest)[1]
+        places, block = _rows(got["v"].combine_chunks(), max(1, widest or 0))
+        if len(places):
+            yield got["q"].take(places).to_pylist(), block
 
 
 HITS = "query_id long, id long, score double"
@@ -103,14 +100,14 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosin
             for batch in batches:
                 places, v = _rows(batch.column(1), q.shape[1])
                 if not len(places):
-                    continue
+                    continue  # none of them can be compared
                 vid_ = batch.column(0).to_numpy(zero_copy_only=False)[places]
                 s = _score(q, v, metric)
                 for i in range(len(q)):
                     best.add(i, s[i], vid_)
             yield _hits(names, best)
 
-        found = found.union(vectors.select(F.col(vid).cast("bigint"), F.col(vector)).where(F.col(vector).isNotNull()).mapInArrow(run, HITS))
+        found = found.union(vectors.select(F.col(vid).cast("bigint"), F.col(vector)).mapInArrow(run, HITS))
     return _ranked(found, k)
 
 
@@ -191,7 +188,7 @@ def nearest_in_cells(queries: DataFrame, indexed: DataFrame, centers: np.ndarray
                             best.add(i, s[j], vid_[rows])
             yield _hits(names, best)
 
-        rows = indexed.select(F.col(vid).cast("bigint"), F.col(vector), "cell").where(F.col(vector).isNotNull() & F.col("cell").isin(np.unique(near).tolist()))
+        rows = indexed.select(F.col(vid).cast("bigint"), F.col(vector), "cell").where(F.col("cell").isin(np.unique(near).tolist()))
         found = found.union(rows.mapInArrow(run, HITS))
     return _ranked(found, k)
 

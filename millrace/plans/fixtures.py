@@ -12,8 +12,21 @@ PAGE_CHARS = 1500
 WINDOW_CHARS = 1000
 
 
+#: Set to false to leave small tables in the partitions that their files give.
+SPREAD = "spark.millrace.spread"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts of fewer partitions than there are cores are dealt out anew.
+
+    A table of so few splits is small, and its texts are heavy work.  One with
+    splits enough is never moved.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages") and spark.conf.get(SPREAD, "true") == "true" and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def markdown_docs(docs: DataFrame) -> DataFrame:

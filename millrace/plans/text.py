@@ -52,11 +52,11 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(chunking.sentences(F.col("text"))).alias("pos", "sentence"))
+    return T.each(_docs(spark, sf_dir), chunking.sentences(F.col("text")), "pos", "sentence", "doc_id")
 
 
 def paragraph_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spaced_docs(_docs(spark, sf_dir)).select("doc_id", F.posexplode(chunking.paragraphs(F.col("text"))).alias("pos", "paragraph"))
+    rows = T.each(spaced_docs(_docs(spark, sf_dir)), chunking.paragraphs(F.col("text")), "pos", "paragraph", "doc_id")
     return rows.select("doc_id", "pos", F.length("paragraph").alias("n_chars"), F.md5("paragraph").alias("paragraph_md5"))
 
 
@@ -65,14 +65,14 @@ def chunk_route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def size_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(chunking.size_chunks(F.col("text"))).alias("chunk_index", "c"))
+    rows = T.each(_docs(spark, sf_dir), chunking.size_chunks(F.col("text")), "chunk_index", "c", "doc_id")
     return rows.select("doc_id", "chunk_index", F.length("c").alias("n_chars"), F.md5("c").alias("chunk_md5"))
 
 
 def size_chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row about the chunks of all documents."""
     n = F.length("c")
-    rows = _docs(spark, sf_dir).select(F.explode(chunking.size_chunks(F.col("text"))).alias("c"))
+    rows = T.each(_docs(spark, sf_dir), chunking.size_chunks(F.col("text")), "k", "c")
     return rows.agg(F.count("*").alias("chunks"), F.min(n).alias("shortest"), F.max(n).alias("longest"), F.sum(n).alias("total_chars"))
 
 
@@ -99,17 +99,18 @@ def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markdown_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markdown_docs(_docs(spark, sf_dir)).select("doc_id", F.posexplode(markdown.links(F.col("text"))).alias("pos", "link"))
+    return T.each(markdown_docs(_docs(spark, sf_dir)), markdown.links(F.col("text")), "pos", "link", "doc_id")
 
 
 def markdown_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = markdown_docs(_docs(spark, sf_dir)).select("doc_id", F.posexplode(markdown.images(F.col("text"))).alias("pos", "i"))
+    rows = T.each(markdown_docs(_docs(spark, sf_dir)), markdown.images(F.col("text")), "pos", "i", "doc_id")
     return rows.select("doc_id", "pos", "i.src", "i.alt", "i.title")
 
 
 def _image_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """References of all derived documents, and a file for two thirds of the names: beside the documents or in a folder below."""
-    rows = markdown_docs(_docs(spark, sf_dir)).select(F.col("path").alias("source_file"), F.posexplode(markdown.images(F.col("text"))).alias("pos", "i")).select("source_file", "pos", "i.*")
+    docs = markdown_docs(_docs(spark, sf_dir)).withColumnRenamed("path", "source_file")
+    rows = T.each(docs, markdown.images(F.col("text")), "pos", "i", "source_file").select("source_file", "pos", "i.*")
     kind = F.conv(F.substring(F.md5("src"), 1, 1), 16, 10).cast("int") % 3
     names = rows.select("src").distinct().where(~F.contains("src", F.lit("/")))
     files = names.select(F.when(kind == 0, F.concat(F.lit("docs/"), "src")).when(kind == 1, F.concat(F.lit("docs/img/"), "src")).alias("path"))

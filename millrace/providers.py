@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable
-from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -44,9 +43,17 @@ class Generator(Protocol):
 _TOKEN = re.compile("[a-z0-9À-ɏ]+")
 
 
-@lru_cache(1 << 18)
-def _bucket(token: str, dimension: int) -> int:
-    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dimension
+#: Buckets of tokens that a process has seen; emptied when full.
+_BUCKETS: dict[str, int] = {}
+MOST_TOKENS = 1 << 18
+
+
+def _bucket(token: str) -> int:
+    """A number of 32 bits that the token alone decides."""
+    if len(_BUCKETS) >= MOST_TOKENS:
+        _BUCKETS.clear()
+    n = _BUCKETS[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
+    return n
 
 
 class HashingEmbedder:
@@ -56,11 +63,11 @@ class HashingEmbedder:
         self.dimension = dimension
 
     def encode(self, texts: list[str], is_query: bool = False) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimension), np.float32)
-        for i, text in enumerate(texts):
-            at = [_bucket(t, self.dimension) for t in _TOKEN.findall((text or "").lower())]
-            out[i] = np.bincount(at, minlength=self.dimension) if at else 0
-        return out
+        get, d = _BUCKETS.get, self.dimension
+        found = [_TOKEN.findall((t or "").lower()) for t in texts]
+        numbers = [n if (n := get(t)) is not None else _bucket(t) for ts in found for t in ts]
+        rows = np.repeat(np.arange(len(found)), [len(ts) for ts in found])
+        return np.bincount(rows * d + np.array(numbers, np.int64) % d, minlength=len(found) * d).reshape(-1, d).astype(np.float32)
 
 
 def embed(embedder: Embedder, text: Column, is_query: bool = False) -> Column:
