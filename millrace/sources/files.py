@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import errors
-from millrace.functions.text import or_default, stem, suffix
+from millrace.functions.text import stem, suffix
 from millrace.operators import chunking, html_sections, images, markdown
 from millrace.operators.pages import whole_text
 from millrace.providers import Captioner
@@ -54,8 +54,10 @@ def pdf_rows(chunks: DataFrame) -> DataFrame:
 
 
 def _as_chunks(df: DataFrame) -> DataFrame:
+    """Chunk rows; images and links that are missing are empty lists."""
     have = df.columns
-    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in CHUNK])
+    rows = df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in CHUNK])
+    return rows.withColumns({c: F.coalesce(c, F.array().cast(CHUNK[c].dataType)) for c in ("images", "links")})
 
 
 def _with_images(chunks: DataFrame, files: DataFrame | None, captioner: Captioner | None, html: bool) -> DataFrame:
@@ -89,6 +91,8 @@ def read_chunks(
     text = F.col("content").cast("string")
     pages = html_sections.sections(kinds.where("__kind = 'html'").select("path", text.alias("html")), "path")
     html = _with_images(pages.where("error is null"), image_files, captioner, True)
+    said = html_sections.media_content(F.col("content"), F.transform("images", lambda i: i["description"]))
+    html = html.withColumn("content", F.when(html_sections.is_media(F.col("heading"), F.col("content")), said).otherwise(F.col("content")))
     bad = errors.rows(pages.where("error is not null"), "parsing_error", "source_file", "HTML", F.col("error"))
     notes = _with_images(markdown.chunks(kinds.where("__kind = 'markdown'").select("path", text.alias("text"))), image_files, captioner, False)
     out = _as_chunks(html).unionByName(_as_chunks(notes))
@@ -100,8 +104,3 @@ def read_chunks(
         pdf = pdf.join(page_texts.select("path").distinct(), "path", "left_anti")
     lost = errors.rows(pdf, "parsing_error", "path", "no page texts for this PDF").unionByName(errors.rows(kinds.where("__kind = 'unsupported'"), "parsing_error", "path", F.concat(F.lit("unsupported format: "), F.col("ext"))))
     return out, bad.unionByName(lost).to(ERROR)
-
-
-def chunk_or_default(chunks: DataFrame) -> DataFrame:
-    """Chunk rows whose null lists are empty and whose empty headings are named."""
-    return chunks.withColumns({"images": F.coalesce("images", F.array().cast(CHUNK["images"].dataType)), "links": F.coalesce("links", F.array().cast("array<string>")), "heading": or_default(F.col("heading"), markdown.NO_HEADING)})

@@ -109,3 +109,15 @@ def test_wrong_vectors_are_an_error(spark):
 
     with pytest.raises(Exception, match="the embedder gave"):
         spark.createDataFrame([("a",)], "t string").select(embed(Wrong(), F.col("t"))).collect()
+
+
+def test_tables_of_images(spark, folder):
+    (folder / "t.html").write_text("<body><table><tr><td>cell<img src='pump.png' alt='A pump'><img src='gone.png'></td></tr></table></body>")
+    scan = files.scan(spark, str(folder), files.HTML)
+    pictures = files.scan(spark, str(folder), files.IMAGES).select("path")
+    chunks, _ = files.read_chunks(scan, image_files=pictures)
+    got = chunks.where("heading = 'Contenu multimédia'").first()
+    assert got["content"].endswith("\n\ncell\n[Image: A pump]\n[Image: Image non trouvée: gone.png]")
+    assert [i["found"] for i in got["images"]] == [True, False] and got["links"] == []
+    plain, _ = files.read_chunks(scan)
+    assert plain.where("heading = 'Contenu multimédia'").first()["content"].endswith("\n\ncell")

@@ -58,7 +58,7 @@ def test_sections_as_rows(spark):
     df = H.sections(spark.createDataFrame([("u", PAGE), ("v", None), ("w", "<h1>x</h1>")], "url string, html string"))
     assert [r["heading"] for r in df.orderBy("section_index").collect()] == ["One", "Two", "Last"]
     with_text = df.limit(1).select(F.lit("H\n\nt").alias("content"), F.array(F.lit("d1"), F.lit("d2")).alias("descriptions"))
-    assert with_text.select(H.media_content()).first()[0] == "H\n\nt\n[Image: d1]\n[Image: d2]"
+    assert with_text.select(H.media_content(F.col("content"), F.col("descriptions"))).first()[0] == "H\n\nt\n[Image: d1]\n[Image: d2]"
 
 
 def test_main_content():
