@@ -2,7 +2,7 @@
 
 Reads classic and big TIFF of either byte order; samples of 8 or 16 bits, strips
 or tiles, chunky or planar, uncompressed, PackBits, LZW or deflate, with or
-without the horizontal predictor.
+without the horizontal predictor.  A page of another kind gives an error row.
 """
 
 from __future__ import annotations
@@ -257,8 +257,9 @@ def tiff_pages(rows: DataFrame, media: str = "media") -> DataFrame:
     """One row per page of the TIFF in column ``media``; the other columns come along.
 
     page counts from 0.  histogram counts pixel bytes by their upper three bits.
-    Bytes that are no TIFF, or that break off, give a row whose error says so and
-    whose further columns are null; pages decoded before that stay.  A null or
+    Bytes that are no TIFF, or whose directories break off, give a row whose
+    error says so and whose further columns are null; pages before that stay.  So
+    does a page that can't be decoded, and the pages behind it are read.  A null or
     empty medium, having no pages, gives no row.  Columns of ``rows`` that have
     the name of a page column are dropped.
     """
@@ -266,16 +267,23 @@ def tiff_pages(rows: DataFrame, media: str = "media") -> DataFrame:
     made = T._parse_datatype_string(PAGE)
     keep = [f for f in rows.schema.fields if f.name not in {*made.names, media}]
 
+    broken = (ValueError, KeyError, IndexError, struct.error, zlib.error)
+
     def decode(data: bytes) -> Iterator[dict]:
         done = 0
+        wrong = lambda e: dict.fromkeys(made.names) | {"page": done, "error": f"{type(e).__name__}: {e}"}
         try:
             for order, tags in directories(data):
-                page = decode_page(data, order, tags)
-                shown = np.bincount(np.frombuffer(page["pixels"], np.uint8) >> 5, minlength=8)
-                yield {"page": done, "histogram": shown.tolist()} | page
+                try:
+                    page = decode_page(data, order, tags)
+                    shown = np.bincount(np.frombuffer(page["pixels"], np.uint8) >> 5, minlength=8)
+                    row = {"page": done, "histogram": shown.tolist()} | page
+                except broken as e:
+                    row = wrong(e)
+                yield row
                 done += 1
-        except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-            yield dict.fromkeys(made.names) | {"page": done, "error": f"{type(e).__name__}: {e}"}
+        except broken as e:
+            yield wrong(e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.string()]

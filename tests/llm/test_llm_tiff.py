@@ -101,3 +101,17 @@ def test_query_columns(spark, small):
         media = T.text_to_tiff(payload)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest())
+
+
+def test_pages_behind_an_unreadable_one_stay(spark):
+    pages = [np.full((4, 5, 1), v, np.uint8) for v in (1, 2, 3)]
+    data = bytearray(T.encode_tiff(pages))
+    at = struct.unpack_from("<I", data, 4)[0]
+    at = struct.unpack_from("<I", data, at + 2 + 12 * struct.unpack_from("<H", data, at)[0])[0]
+    bits = next(at + 2 + 12 * k for k in range(10) if struct.unpack_from("<H", data, at + 2 + 12 * k)[0] == 258)
+    struct.pack_into("<H", data, bits + 8, 1)
+    rows = spark.createDataFrame([(1, bytes(data))], "id long, media binary")
+    got = sorted(T.tiff_pages(rows).collect(), key=lambda r: r["page"])
+    assert [r["page"] for r in got] == [0, 1, 2]
+    assert [r["pixels"] for r in got] == [pages[0].tobytes(), None, pages[2].tobytes()]
+    assert "1 bits" in got[1]["error"] and got[0]["error"] is None and got[2]["error"] is None
