@@ -36,7 +36,7 @@ def _parser() -> argparse.ArgumentParser:
     crawl.add_argument("start")
     crawl.add_argument("out")
     crawl.add_argument("--base")
-    crawl.add_argument("--waves", type=int, default=50)
+    crawl.add_argument("--waves", type=int, default=None)
     return p
 
 

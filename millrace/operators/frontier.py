@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -68,16 +70,21 @@ def settle(frontier: DataFrame, fetched: DataFrame, now) -> DataFrame:
     return out.select(*frontier.columns)
 
 
-def crawl(start: DataFrame, pages: DataFrame, links: Column, base: str, now, save: Callable[[DataFrame, int], DataFrame], max_waves: int = 50) -> DataFrame:
+def crawl(start: DataFrame, pages: DataFrame, links: Column, base: str, now, save: Callable[[DataFrame, int], DataFrame], max_waves: int | None = None) -> DataFrame:
     """Breadth-first over a snapshot of ``pages`` (url, html): wave after wave, until nothing is pending.
 
     ``save`` writes the frontier of a wave and reads it back, which cuts its
-    lineage.  URLs that the snapshot doesn't have end in error.
+    lineage.  URLs that the snapshot doesn't have end in error.  Where
+    ``max_waves`` ends it early, a warning says how many URLs are pending.
     """
     frontier = save(seed(start, now), 0)
-    for wave in range(1, max_waves + 1):
+    for wave in itertools.count(1):
         if not frontier.where(F.col("status") == PENDING).limit(1).count():
             break
+        if max_waves is not None and wave > max_waves:
+            left = frontier.where(F.col("status") == PENDING).count()
+            warnings.warn(f"crawl ended after {max_waves} waves with {left} URLs pending", stacklevel=2)
+            break
         claimed = claim(frontier, now)
         mine = claimed.where(F.col("status") == IN_PROGRESS).select("url")
         here = pages.join(mine, "url", "left_semi")

@@ -1,7 +1,9 @@
 """Manifest, frontier, integrity, export, errors and their files."""
 
 import datetime as dt
+import inspect
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace import errors
@@ -72,6 +74,20 @@ def test_crawl(spark, tmp_path):
     assert list(frontier.success_rate(got.limit(0)).first()) == [0, 0, 0.0]
 
 
+def test_crawl_says_what_it_leaves(spark, tmp_path):
+    pages = spark.createDataFrame([(f"http://h/{i}", [f"/{i + 1}"]) for i in range(4)], "url string, links array<string>")
+
+    def save(df, wave):
+        df.write.mode("overwrite").parquet(f"{tmp_path}/w{wave}")
+        return spark.read.parquet(f"{tmp_path}/w{wave}")
+
+    start = spark.createDataFrame([("http://h/0",)], "url string")
+    with pytest.warns(UserWarning, match="1 URLs pending"):
+        got = frontier.crawl(start, pages, F.col("links"), "http://h", T0, save, 2)
+    assert got.where("status = 'pending'").count() == 1
+    assert inspect.signature(frontier.crawl).parameters["max_waves"].default is None
+
+
 def test_urls(spark):
     cases = {
         "http://h/a/b.html": "a/b.md", "http://h/a/b": "a/b/index.md", "http://h/a/": "a/index.md", "http://h": "index.md", "http://h/": "index.md", "http://h/x.y/z?q=a.b": "x.y/z/index.md",
