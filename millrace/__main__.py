@@ -25,6 +25,7 @@ def _parser() -> argparse.ArgumentParser:
     ask.add_argument("question")
     ask.add_argument("--documents", type=int, default=3)
     ask.add_argument("--no-reranking", action="store_true")
+    ask.add_argument("--exported", action="store_true", help="index is a folder that export has written")
     status = sub.add_parser("status", help="what an index holds, and whether it is sound")
     status.add_argument("index")
     out = sub.add_parser("export", help="write vectors in order, with a manifest")
@@ -37,6 +38,8 @@ def _parser() -> argparse.ArgumentParser:
     crawl.add_argument("out")
     crawl.add_argument("--base")
     crawl.add_argument("--waves", type=int, default=None)
+    crawl.add_argument("--retries", type=int, default=0)
+    crawl.add_argument("--resume", action="store_true", help="go on from the last wave in out")
     return p
 
 
@@ -50,19 +53,23 @@ def run(spark: SparkSession, argv: list[str]) -> None:
     if a.command == "crawl":
         pages = spark.read.parquet(a.pages).select("url", html_sections.links_of("html").alias("links"))
         base = a.base or "/".join(a.start.split("/")[:3])
+        done = [int(n[5:]) for n in state.children(spark, a.out) if n.startswith("wave=") and "_SUCCESS" in state.children(spark, f"{a.out}/{n}")]
+        first = max(done) + 1 if a.resume and done else 0
+        known = spark.read.parquet(f"{a.out}/wave={first - 1}") if first else None
 
         def save(df, wave):
-            df.write.mode("overwrite").parquet(f"{a.out}/wave={wave}")
-            return spark.read.parquet(f"{a.out}/wave={wave}")
+            path = f"{a.out}/wave={first + wave}"
+            df.write.mode("overwrite").parquet(path)
+            return spark.read.parquet(path)
 
         start = spark.createDataFrame([(a.start,)], "url string")
-        found = frontier.crawl(start, pages, pages["links"], base, dt.datetime.now(), save, a.waves)
+        found = frontier.crawl(start, pages, pages["links"], base, dt.datetime.now(), save, a.waves, a.retries, known)
         frontier.status_counts(found).show(truncate=False)
         return
     lacking = config.missing_parts(set(state.children(spark, a.index)))
     if lacking:
         raise SystemExit(f"{a.index} has no {' and no '.join(lacking)}")
-    vectors = api.vectors_of(spark, a.index)
+    vectors = export.load(spark, a.index)[0] if a.command == "ask" and a.exported else api.vectors_of(spark, a.index)
     if a.command == "ask":
         print(api.ask_rag_question(spark, vectors, a.question, a.documents, not a.no_reranking))
     elif a.command == "status":

@@ -52,6 +52,24 @@ class Answers:
     similarity_threshold: float | None = None
 
 
+def described(index: Index) -> str:
+    """What an export holds, in lines for a reader."""
+    rows = [
+        ("Repository", index.repo_id), ("Vectors", f"{index.total_vectors:,}"), ("Dimension", str(index.vector_dimension)), ("Model", index.embedding_model),
+        ("File", index.files.get("embeddings", "")), ("Completed", index.completion_timestamp or "unknown"),
+    ]
+    return "\n".join(f"{name}: {value}" for name, value in rows)
+
+
+def download_instructions(index: Index, local: str = "export") -> dict[str, str]:
+    """How to get an export and read it: by command, by address, and in Python."""
+    return {
+        "cli_download": f"huggingface-cli download {index.repo_id} --repo-type {index.repo_type}",
+        "repo_url": f"https://huggingface.co/{index.repo_type}s/{index.repo_id}",
+        "python_code": f"from millrace.operators import export\n\nvectors, about = export.load(spark, {local!r})  # {index.total_vectors} x {index.vector_dimension}",
+    }
+
+
 def missing_parts(there: set[str]) -> list[str]:
     """What an index folder with the entries ``there`` lacks before it can answer questions."""
     return [part for part in ("vectors", "manifest") if part not in there]

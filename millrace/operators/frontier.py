@@ -46,14 +46,16 @@ def add(frontier: DataFrame, urls: DataFrame, now) -> DataFrame:
     return frontier.unionByName(seed(urls.join(frontier, "url", "left_anti"), now))
 
 
-def claim(frontier: DataFrame, now, max_retries: int = 0) -> DataFrame:
-    """``frontier`` with all that can be fetched in progress.
+def ready(max_retries: int = 0) -> Column:
+    """Whether a URL can be fetched: it is pending, an interrupted run left it in progress, or it is in error with retries left."""
+    again = (F.col("status") == ERROR) & (F.coalesce("retry_count", F.lit(0)) <= max_retries) & F.lit(max_retries > 0)
+    return F.col("status").isin(PENDING, IN_PROGRESS) | again
 
-    That is what is pending, what an interrupted run left in progress, and errors
-    with retries left.
-    """
-    ready = F.col("status").isin(PENDING, IN_PROGRESS) | ((F.col("status") == ERROR) & (F.col("retry_count") <= max_retries) & F.lit(max_retries > 0))
-    return frontier.withColumns({"status": F.when(ready, IN_PROGRESS).otherwise(F.col("status")), "started_at": F.when(ready, F.lit(now).cast("timestamp")).otherwise(F.col("started_at"))})
+
+def claim(frontier: DataFrame, now, max_retries: int = 0) -> DataFrame:
+    """``frontier`` with all that is :func:`ready` in progress."""
+    ready_ = ready(max_retries)
+    return frontier.withColumns({"status": F.when(ready_, IN_PROGRESS).otherwise(F.col("status")), "started_at": F.when(ready_, F.lit(now).cast("timestamp")).otherwise(F.col("started_at"))})
 
 
 def settle(frontier: DataFrame, fetched: DataFrame, now) -> DataFrame:
@@ -70,22 +72,24 @@ def settle(frontier: DataFrame, fetched: DataFrame, now) -> DataFrame:
     return out.select(*frontier.columns)
 
 
-def crawl(start: DataFrame, pages: DataFrame, links: Column, base: str, now, save: Callable[[DataFrame, int], DataFrame], max_waves: int | None = None) -> DataFrame:
-    """Breadth-first over a snapshot of ``pages`` (url, html): wave after wave, until nothing is pending.
+def crawl(start: DataFrame, pages: DataFrame, links: Column, base: str, now, save: Callable[[DataFrame, int], DataFrame], max_waves: int | None = None, max_retries: int = 0, known: DataFrame | None = None) -> DataFrame:
+    """Breadth-first over a snapshot of ``pages`` (url, html): wave after wave, until nothing is :func:`ready`.
 
     ``save`` writes the frontier of a wave and reads it back, which cuts its
-    lineage.  URLs that the snapshot doesn't have end in error.  Where
+    lineage.  URLs that the snapshot doesn't have end in error, after
+    ``max_retries`` more tries.  ``known`` is the frontier of an earlier run, which
+    this one takes up: what is complete stays, what was left is fetched.  Where
     ``max_waves`` ends it early, a warning says how many URLs are pending.
     """
-    frontier = save(seed(start, now), 0)
+    frontier = save(seed(start, now) if known is None else add(known, start, now), 0)
     for wave in itertools.count(1):
-        if not frontier.where(F.col("status") == PENDING).limit(1).count():
+        if frontier.where(ready(max_retries)).isEmpty():
             break
         if max_waves is not None and wave > max_waves:
-            left = frontier.where(F.col("status") == PENDING).count()
+            left = frontier.where(ready(max_retries)).count()
             warnings.warn(f"crawl ended after {max_waves} waves with {left} URLs pending", stacklevel=2)
             break
-        claimed = claim(frontier, now)
+        claimed = claim(frontier, now, max_retries)
         mine = claimed.where(F.col("status") == IN_PROGRESS).select("url")
         here = pages.join(mine, "url", "left_semi")
         fetched = mine.join(pages.select("url").distinct().withColumn("__has", F.lit(True)), "url", "left")

@@ -20,6 +20,8 @@ from millrace.functions.vectors import EPSILON
 
 #: Bytes of query vectors that are sent to the tasks at once.
 BLOCK_BYTES = 16 << 20
+#: Scores that a task works out at once, of eight bytes each.
+SCORES = 1 << 22
 #: Decimals that count in ranking, so that the order of additions doesn't.
 RANK_DECIMALS = 9
 
@@ -64,19 +66,28 @@ class _Best:
             s, i = s[keep], i[keep]
         self.scores[q], self.ids[q] = s, i
 
+    def compare(self, who: np.ndarray, queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, metric: str) -> None:
+        """Add rows to the queries at the places ``who``, so many at once that the scores stay few."""
+        step = max(1, SCORES // max(1, len(queries)))
+        for at in range(0, len(vectors), step):
+            s = _score(queries, vectors[at : at + step], metric)
+            for j, i in enumerate(who):
+                self.add(i, s[j], ids[at : at + step])
+
 
 def _blocks(queries: DataFrame, qid: str, vector: str) -> Iterator[tuple[list[int], np.ndarray]]:
-    """The queries, block by block; each is small enough for driver and tasks."""
-    rows = queries.select(F.col(qid).cast("bigint").alias("q"), F.col(vector).alias("v"))
-    size, widest = rows.agg(F.coalesce(F.sum(F.size("v") * 8), F.lit(0)), F.max(F.size("v"))).first()
-    size = max(0, size)
-    n = max(1, -(-size // BLOCK_BYTES))
-    for b in range(n):
-        got = rows.where(F.pmod(F.xxhash64("q"), F.lit(n)) == b) if n > 1 else rows
-        got = got.where(F.size("v") == (widest or 0)).orderBy("q").toArrow()
-        places, block = _rows(got["v"].combine_chunks(), max(1, widest or 0))
-        if len(places):
-            yield got["q"].take(places).to_pylist(), block
+    """The queries, block by block: each is of one dimension, and small enough for driver and tasks."""
+    rows = queries.select(F.col(qid).cast("bigint").alias("q"), F.col(vector).alias("v")).where(F.size("v") > 0)
+    sizes = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).orderBy("width").collect()
+    for width, count in sizes:
+        n = max(1, -(-width * count * 8 // BLOCK_BYTES))
+        mine = rows.where(F.size("v") == width)
+        for b in range(n):
+            got = mine.where(F.pmod(F.xxhash64("q"), F.lit(n)) == b) if n > 1 else mine
+            got = got.orderBy("q").toArrow()
+            places, block = _rows(got["v"].combine_chunks(), width)
+            if len(places):
+                yield got["q"].take(places).to_pylist(), block
 
 
 HITS = "query_id long, id long, score double"
@@ -86,8 +97,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosin
     """(query_id, id, score, rank) of the ``k`` nearest rows to each query, itself included.
 
     ``metric`` is ``cosine`` or ``l2`` (score: negative squared distance).  Ties go to
-    the least id.  Vectors that are null or of another length than the longest
-    query are no one's neighbours; rows that repeat an id are rows.
+    the least id.  A query is compared with the vectors of its own length; null
+    and empty vectors have no neighbours and are no one's.  Rows that repeat an
+    id are rows.
     """
     spark = vectors.sparkSession
     found = spark.createDataFrame([], HITS)
@@ -102,9 +114,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosin
                 if not len(places):
                     continue  # none of them can be compared
                 vid_ = batch.column(0).to_numpy(zero_copy_only=False)[places]
-                s = _score(q, v, metric)
-                for i in range(len(q)):
-                    best.add(i, s[i], vid_)
+                best.compare(np.arange(len(q)), q, v, vid_, metric)
             yield _hits(names, best)
 
         found = found.union(vectors.select(F.col(vid).cast("bigint"), F.col(vector)).mapInArrow(run, HITS))
@@ -133,8 +143,9 @@ def with_cells(vectors: DataFrame, centers: np.ndarray, vector: str = "embedding
         for batch in batches:
             cells = np.full(batch.num_rows, -1, np.int32)
             places, v = _rows(batch.column(at), c.shape[1])
-            if len(places):
-                cells[places] = np.argmax(_score(v, c, "l2"), axis=1)
+            step = max(1, SCORES // len(c))
+            for a in range(0, len(places), step):
+                cells[places[a : a + step]] = np.argmax(_score(v[a : a + step], c, "l2"), axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], names=[*batch.schema.names, "cell"])
 
     at = vectors.columns.index(vector)
@@ -171,6 +182,8 @@ def nearest_in_cells(queries: DataFrame, indexed: DataFrame, centers: np.ndarray
     spark = indexed.sparkSession
     found = spark.createDataFrame([], HITS)
     for ids, block in _blocks(queries, qid, vector):
+        if block.shape[1] != centers.shape[1]:
+            continue  # no row of this dimension has a cell
         near = np.argsort(-_score(block, centers, "l2"), axis=1, kind="stable")[:, :probes]
         sent = spark.sparkContext.broadcast((np.array(ids), block, near))
 
@@ -183,9 +196,7 @@ def nearest_in_cells(queries: DataFrame, indexed: DataFrame, centers: np.ndarray
                 for c in np.unique(cell):
                     who, rows = np.flatnonzero((probed == c).any(axis=1)), np.flatnonzero(cell == c)
                     if len(who):
-                        s = _score(q[who], v[rows], "cosine")
-                        for j, i in enumerate(who):
-                            best.add(i, s[j], vid_[rows])
+                        best.compare(who, q[who], v[rows], vid_[rows], "cosine")
             yield _hits(names, best)
 
         rows = indexed.select(F.col(vid).cast("bigint"), F.col(vector), "cell").where(F.col("cell").isin(np.unique(near).tolist()))
@@ -205,9 +216,11 @@ def probes_for(indexed: DataFrame, centers: np.ndarray, k: int, target: float =
     cells = found.join(indexed.select(F.col(vid).alias("id"), "cell"), "id").select("query_id", "cell").toArrow()  # at most sample_rows * k rows
     place = {}
     for ids, block in _blocks(asked, "query_id", "embedding"):
+        if block.shape[1] != centers.shape[1]:
+            continue
         order = np.argsort(np.argsort(-_score(block, centers, "l2"), axis=1, kind="stable"), axis=1)
         place |= dict(zip(ids, order, strict=True))
-    ranks = [int(place[q][c]) for q, c in zip(cells["query_id"].to_pylist(), cells["cell"].to_pylist(), strict=True) if c >= 0]
+    ranks = [int(place[q][c]) for q, c in zip(cells["query_id"].to_pylist(), cells["cell"].to_pylist(), strict=True) if c >= 0 and q in place]
     if not ranks:
         return len(centers)
     share = np.cumsum(np.bincount(ranks, minlength=len(centers))) / len(ranks)

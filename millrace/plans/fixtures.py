@@ -12,20 +12,15 @@ PAGE_CHARS = 1500
 WINDOW_CHARS = 1000
 
 
-#: Set to false to leave small tables in the partitions that their files give.
+#: Set to true (as bench.py does) where tables are single row groups, which one task would read alone.
 SPREAD = "spark.millrace.spread"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; texts of fewer partitions than there are cores are dealt out anew.
-
-    A table of so few splits is small, and its texts are heavy work.  One with
-    splits enough is never moved.
-    """
+    """A table as its files are; with :data:`SPREAD`, texts are dealt out to all cores first."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in ("documents", "pages") and spark.conf.get(SPREAD, "true") == "true" and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+    if name in ("documents", "pages") and spark.conf.get(SPREAD, "false") == "true":
+        return df.repartition(spark.sparkContext.defaultParallelism)
     return df
 
 
@@ -105,20 +100,20 @@ WINDOWS = f"""
 
 
 def snapshots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two states of one folder: the manifest of an earlier run, and a scan of today.
+    """Two states of one folder: the manifest of an earlier run, and a scan of today, each of all documents.
 
-    Some files are only in one of them, and some are a minute younger today.
+    Some files have moved to another folder, and some are a minute younger today.
     """
-    path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    path = lambda moved, folder: F.concat(F.when(moved, folder).otherwise("docs/"), F.col("doc_id").cast("string"), F.lit(".md"))
     at = lambda shift: F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") + shift)
-    old = docs.where("doc_id % 3 <> 0").select(path.alias("path"), at(F.lit(0)).alias("mtime"), F.col("n_chars").alias("size"), at(F.lit(3600)).alias("indexed_at"), F.col("doc_id").alias("chunks_count"), (F.col("doc_id") % 4).alias("images_count"))
-    new = docs.where("doc_id % 5 <> 1").select(path.alias("path"), at(F.when(F.col("doc_id") % 7 == 0, 60).otherwise(0)).alias("mtime"), F.col("n_chars").alias("size"))
+    old = docs.select(path(F.col("doc_id") % 3 == 0, "drafts/").alias("path"), at(F.lit(0)).alias("mtime"), F.col("n_chars").alias("size"), at(F.lit(3600)).alias("indexed_at"), F.col("doc_id").alias("chunks_count"), (F.col("doc_id") % 4).alias("images_count"))
+    new = docs.select(path(F.col("doc_id") % 5 == 1, "moved/").alias("path"), at(F.when(F.col("doc_id") % 7 == 0, 60).otherwise(0)).alias("mtime"), F.col("n_chars").alias("size"))
     return old, new
 
 
 SNAPSHOTS = """
-    old AS (SELECT concat('docs/', doc_id, '.md') AS path, 1700000000 + doc_id AS mtime, 1700003600 + doc_id AS indexed_at, doc_id AS chunks_count, doc_id % 4 AS images_count FROM documents WHERE doc_id % 3 <> 0),
-    new AS (SELECT concat('docs/', doc_id, '.md') AS path, 1700000000 + doc_id + CASE WHEN doc_id % 7 = 0 THEN 60 ELSE 0 END AS mtime FROM documents WHERE doc_id % 5 <> 1)
+    old AS (SELECT concat(CASE WHEN doc_id % 3 = 0 THEN 'drafts/' ELSE 'docs/' END, doc_id, '.md') AS path, 1700000000 + doc_id AS mtime, 1700003600 + doc_id AS indexed_at, doc_id AS chunks_count, doc_id % 4 AS images_count FROM documents),
+    new AS (SELECT concat(CASE WHEN doc_id % 5 = 1 THEN 'moved/' ELSE 'docs/' END, doc_id, '.md') AS path, 1700000000 + doc_id + CASE WHEN doc_id % 7 = 0 THEN 60 ELSE 0 END AS mtime FROM documents)
 """
 
 #: White space at both ends of a text, in SQL.

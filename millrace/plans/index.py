@@ -45,10 +45,11 @@ def manifest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_upsert_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index keyed by text that takes in every document with an even id, some with one key."""
-    docs = table(spark, sf_dir, "documents").select(F.md5("text").alias("chunk_id"), "doc_id")
-    index = docs.groupBy("chunk_id").agg(F.min("doc_id").alias("doc_id")).withColumn("version", F.lit(0))
-    return manifest.upsert_vectors(index, docs.where("doc_id % 2 = 0").withColumn("version", F.lit(1)), newest="doc_id")
+    """An index keyed by the texts' first lines that takes in every whole text, many with a key that it has."""
+    docs = table(spark, sf_dir, "documents")
+    line = F.get(F.split("text", "\n"), 0)
+    index = docs.groupBy(F.md5(line).alias("chunk_id")).agg(F.min("doc_id").alias("doc_id")).withColumn("version", F.lit(0))
+    return manifest.upsert_vectors(index, docs.select(F.md5("text").alias("chunk_id"), "doc_id", F.lit(1).alias("version")), newest="doc_id")
 
 
 def integrity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +83,7 @@ def format_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def data_set_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", safe_name(F.substring("text", 1, 40)).alias("name"))
+    return table(spark, sf_dir, "documents").select("doc_id", safe_name(F.col("text")).alias("name"))
 
 
 def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +124,8 @@ QUERIES = {
     "manifest_upsert": (manifest_upsert, f"WITH {SNAPSHOTS} SELECT new.path, greatest(new.mtime, coalesce(old.mtime, 0)) AS mtime FROM new LEFT JOIN old USING (path)"),
     "index_upsert_dedup": (
         index_upsert_dedup,
-        "SELECT md5(text) AS chunk_id, coalesce(max(doc_id) FILTER (doc_id % 2 = 0), min(doc_id)) AS doc_id, CAST(CASE WHEN count(*) FILTER (doc_id % 2 = 0) > 0 THEN 1 ELSE 0 END AS INTEGER) AS version FROM documents GROUP BY md5(text)",
+        "WITH o AS (SELECT md5(string_split(text, chr(10))[1]) AS chunk_id, min(doc_id) AS doc_id FROM documents GROUP BY 1), n AS (SELECT md5(text) AS chunk_id, max(doc_id) AS doc_id FROM documents GROUP BY 1) "
+        "SELECT chunk_id, coalesce(n.doc_id, o.doc_id) AS doc_id, CAST(CASE WHEN n.doc_id IS NULL THEN 0 ELSE 1 END AS INTEGER) AS version FROM o FULL OUTER JOIN n USING (chunk_id)",
     ),
     "integrity_report": (
         integrity_report,
@@ -144,7 +146,7 @@ QUERIES = {
         "WITH f AS (SELECT '.html' AS ext FROM pages UNION ALL SELECT CASE doc_id % 4 WHEN 0 THEN '.pdf' WHEN 3 THEN '.txt' ELSE '.md' END FROM documents) "
         "SELECT count(*) FILTER (ext = '.html') AS html, count(*) FILTER (ext = '.md') AS markdown, count(*) FILTER (ext = '.pdf') AS pdf, count(*) FILTER (ext = '.txt') AS unsupported, count(*) AS total FROM f",
     ),
-    "data_set_names": (data_set_names, "SELECT doc_id, regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9_-]', '_', 'g') AS name FROM documents"),
+    "data_set_names": (data_set_names, "SELECT doc_id, regexp_replace(text, '[^A-Za-z0-9_-]', '_', 'g') AS name FROM documents"),
     "history_batch_mode": (history_batch_mode, f"WITH {_SAID} SELECT conv_id, turn, role, content FROM m WHERE role IN ('user', 'assistant') AND NOT status"),
     "history_stream_mode": (history_stream_mode, f"WITH {_SAID} SELECT conv_id, turn, role, content FROM m WHERE NOT status"),
     "chat_transcript": (

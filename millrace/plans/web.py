@@ -54,8 +54,7 @@ def url_scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which pages lie in the crawl that starts at the first secure origin."""
     pages = _pages(spark, sf_dir)
     start = pages.where(F.startswith("url", F.lit("https://"))).agg(F.min(urls.origin(F.col("url"))).alias("base"))
-    both = pages.join(F.broadcast(start), F.lit(True))  # one row
-    return both.select("page_id", urls.origin(F.col("url")).alias("origin"), F.coalesce(urls.in_scope(F.col("url"), F.col("base")), F.lit(False)).alias("in_scope"))
+    return pages.select("page_id", urls.origin(F.col("url")).alias("origin"), F.coalesce(urls.in_scope(F.col("url"), start.scalar()), F.lit(False)).alias("in_scope"))
 
 
 def host_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,28 @@ def test_index_and_ask(spark, folder, tmp_path):
     assert len(grown) > 3 and grown[-1][-1]["metadata"] == {"title": "sources"} and grown[0][0]["content"] == "hi"
 
 
+def test_a_changed_file_costs_its_bucket(spark, tmp_path):
+    """Paths over the length that is shown, equal in what is shown; one file changes, and only its bucket is written."""
+    docs, index = tmp_path / "docs", f"{tmp_path}/index"
+    tail = "/".join(["p" * 200, "q" * 200, "same.md"])
+    for top in ("one", "two", "three"):
+        (docs / top / tail).parent.mkdir(parents=True)
+        (docs / top / tail).write_text(f"# {top}\n{WORDS} {top}\n")
+    api.index_folder(spark, str(docs), index)
+    shown = lambda: sorted((r["heading"], len(r["source_file"]), "more" in r["chunk_content"]) for r in api.vectors_of(spark, index).collect())
+    assert [x[0] for x in shown()] == ["one", "three", "two"] and {x[1] for x in shown()} == {400}
+    files_ = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "index" / "vectors").rglob("*.parquet")}
+    before = files_()
+    (docs / "two" / tail).write_text(f"# two\n{WORDS} and more\n")
+    os.utime(docs / "two" / tail, (2e9, 2e9))
+    api.index_folder(spark, str(docs), index)
+    assert [x for x in shown() if x[2]] == [("two", 400, True)] and len(shown()) == 3
+    assert len(set(before.items()) & set(files_().items())) == 2
+    (docs / "one" / tail).write_text(f"# one\n{WORDS} has more\n")
+    api.index_file(spark, str(docs / "one" / tail), index)
+    assert [x[0] for x in shown() if x[2]] == ["one", "two"] and len(shown()) == 3
+
+
 def test_pdf_without_text_is_an_error(spark, folder):
     _, errors = files.read_chunks(files.scan(spark, str(folder)))
     assert [r["error_type"] for r in errors.collect()] == ["parsing_error"]

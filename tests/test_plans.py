@@ -5,14 +5,6 @@ import re
 import pytest
 
 from millrace.plans import registry
-from millrace.plans.fixtures import SPREAD
-
-
-@pytest.fixture(autouse=True)
-def as_the_files_are(spark):
-    spark.conf.set(SPREAD, "false")
-    yield
-    spark.conf.unset(SPREAD)
 
 
 def physical(df):

@@ -65,3 +65,14 @@ def test_vector_functions(spark):
     odd = spark.createDataFrame([([float("nan"), float("inf"), float("-inf"), 2.0],)], "a array<float>")
     assert odd.select(V.sanitize(F.col("a"))).first()[0] == [0, 1, -1, 2]
     assert odd.select(V.is_finite(F.col("a"))).first()[0] is False
+
+
+def test_queries_of_several_lengths(spark, monkeypatch):
+    monkeypatch.setattr(S, "SCORES", 8)
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 1.0, 0.0]), (5, []), (6, None), (7, [1.0, 0.1])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = v.withColumnRenamed("vec_id", "query_id")
+    got = {}
+    for r in S.nearest(q, v, 2).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    assert got == {1: [1, 7], 2: [2, 7], 3: [3, 4], 4: [4, 3], 7: [7, 1]}

@@ -2,14 +2,15 @@
 
 import datetime as dt
 import inspect
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from millrace import errors
-from millrace.config import Index
+from millrace.config import Index, described, download_instructions
 from millrace.functions import urls
-from millrace.operators import export, frontier, history, integrity, manifest
+from millrace.operators import export, frontier, history, integrity, manifest, saved
 from millrace.schemas import MANIFEST
 from millrace.sources import state
 
@@ -122,13 +123,86 @@ def test_export(spark, tmp_path):
     want = {k: i for i, k in enumerate(sorted(r["chunk_id"] for r in df.collect()))}
     for per_range in (100, 10**6):
         assert {r["chunk_id"]: r["ordinal"] for r in export.with_ordinals(df, per_range=per_range).collect()} == want
-    export.write(df, str(tmp_path), "m", "2024")
+    export.write(df, str(tmp_path), "m", "2024", per_range=100)
     about = spark.read.json(f"{tmp_path}/manifest").first().asDict()
     assert (about["total_vectors"], about["vector_dimension"], about["completion_timestamp"]) == (1000, 2, "2024")
+    vectors, row = export.load(spark, str(tmp_path))
+    assert row["embedding_model"] == "m" and {r["chunk_id"]: r["vec_id"] for r in vectors.collect()} == want
+    vectors.limit(5).write.mode("overwrite").parquet(f"{tmp_path}/less")
+    os.rename(f"{tmp_path}/vectors", f"{tmp_path}/all")
+    os.rename(f"{tmp_path}/less", f"{tmp_path}/vectors")
+    with pytest.raises(ValueError, match="total_vectors is 5, the manifest says 1000"):
+        export.load(spark, str(tmp_path))
     maps = spark.createDataFrame([({"ordered_ids": "1", "_x": "2", "k": "3"},)], "metadata map<string,string>")
     assert maps.select(export.content_metadata()).first()[0] == {"k": "3"}
 
 
+def test_ordinals_of_many_ranges_survive_a_write(spark, tmp_path):
+    """More rows in a range than the sampling that places its bounds looks at; keys repeat."""
+    n = 600_000
+    df = spark.range(n).select(F.md5((F.col("id") % (n - 100)).cast("string")).alias("chunk_id"), "id").repartition(7)
+    export.with_ordinals(df, per_range=20_000).write.parquet(f"{tmp_path}/o")
+    got = spark.read.parquet(f"{tmp_path}/o")
+    assert list(got.agg(F.count("*"), F.count_distinct("ordinal"), F.min("ordinal"), F.max("ordinal"), F.count_distinct("id")).first()) == [n, n, 0, n - 1, n]
+    pairs = got.select("ordinal", "chunk_id").join(got.select((F.col("ordinal") - 1).alias("ordinal"), F.col("chunk_id").alias("after")), "ordinal")
+    assert pairs.where("after < chunk_id").count() == 0 and pairs.count() == n - 1
+
+
+def test_a_crawl_goes_on(spark, tmp_path):
+    pages = spark.createDataFrame([(f"http://h/{i}", [f"/{i + 1}"]) for i in range(4)], "url string, links array<string>")
+
+    def save(df, wave, name="a"):
+        df.write.mode("overwrite").parquet(f"{tmp_path}/{name}{wave}")
+        return spark.read.parquet(f"{tmp_path}/{name}{wave}")
+
+    start = spark.createDataFrame([("http://h/0",)], "url string")
+    with pytest.warns(UserWarning, match="1 URLs pending"):
+        half = frontier.crawl(start, pages, F.col("links"), "http://h", T0, save, 2)
+    done = frontier.crawl(start, pages, F.col("links"), "http://h", T1, lambda d, w: save(d, w, "b"), known=half)
+    state_ = {r["url"]: (r["status"], r["started_at"]) for r in done.collect()}
+    assert state_["http://h/0"] == ("completed", T0) and state_["http://h/3"] == ("completed", T1)
+    assert state_["http://h/4"][0] == "error"
+    tried = frontier.crawl(start, pages, F.col("links"), "http://h", T1, lambda d, w: save(d, w, "c"), max_retries=2)
+    assert {r["url"]: r["retry_count"] for r in tried.where("status = 'error'").collect()} == {"http://h/4": 3}
+
+
+def test_saved_pages(spark, tmp_path):
+    rows = [("http://h/a", T0, "old"), ("http://h/a?x=1", T1, "new"), ("http://h/a?x=0", T1, "same time"), ("http://h/b/c.html", None, None), ("http://h/e", T0, "é"), (None, T0, "x")]
+    kept = saved.saved(spark.createDataFrame(rows, "url string, fetched_at timestamp, markdown string"))
+    assert {r["path"]: (r["markdown"], r["replaced"]) for r in kept.collect()} == {"a/index.md": ("new", 2), "b/c.md": ("", 0), "e/index.md": ("é", 0)}
+    for _ in range(2):
+        assert {r["path"]: r["bytes"] for r in saved.write_files(kept, str(tmp_path / "out")).collect()} == {"a/index.md": 3, "b/c.md": 0, "e/index.md": 2}
+    assert (tmp_path / "out/e/index.md").read_text() == "é" and not list(tmp_path.rglob("*.part"))
+    with pytest.raises(Exception, match="steps up"):
+        saved.write_files(spark.createDataFrame([("../x.md", "x")], "path string, markdown string"), str(tmp_path)).collect()
+
+
+def test_buckets(spark, tmp_path):
+    path, schema = f"{tmp_path}/t", spark.createDataFrame([], "k string, v int").schema
+    rows = lambda v, keys: spark.createDataFrame([(k, v) for k in keys], schema).withColumn("bucket", state.bucket(F.col("k"), 4))
+    read = lambda: sorted((r["k"], r["v"]) for r in state.read_buckets(spark, path, schema).collect())
+    state.replace_buckets(rows(0, "abcdefgh"), path)
+    at = {r["k"]: r["bucket"] for r in rows(0, "abcdefgh").collect()}
+    one = at["a"]
+    kept = {n: os.stat(f"{path}/{n}").st_mtime_ns for n in os.listdir(path) if n.startswith("bucket=") and n != f"bucket={one}"}
+    mine = [k for k in "abcdefgh" if at[k] == one]
+    state.replace_buckets(rows(1, mine), path, [one])
+    assert read() == sorted((k, int(k in mine)) for k in "abcdefgh")
+    assert kept == {n: os.stat(f"{path}/{n}").st_mtime_ns for n in kept}
+    state.replace_buckets(rows(1, ""), path, [one])
+    assert read() == [(k, 0) for k in "abcdefgh" if k not in mine]
+    # a run that was stopped between writing and moving
+    rows(2, mine).write.partitionBy("bucket").parquet(path + ".new")
+    state.settle_buckets(spark, path)
+    assert [x for x in read() if x[1] == 2] == [(k, 2) for k in mine] and not os.path.exists(path + ".new")
+
+
+def test_what_an_export_says():
+    made = Index("me/x", 1234, 4, "m", files={"embeddings": "e"})
+    assert "Vectors: 1,234" in described(made) and "Completed: unknown" in described(made)
+    assert download_instructions(made)["repo_url"].endswith("/datasets/me/x")
+
+
 def test_errors_and_history(spark):
     df = spark.createDataFrame([("p1", "m"), ("p1", "n"), ("p2", "m")], "path string, m string")
     e = errors.rows(df, "parsing_error", "path", F.col("m"))
