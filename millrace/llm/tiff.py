@@ -1,6 +1,6 @@
 """TIFF media columns: walk image directories, decode strips and tiles, one row per page.
 
-Reads classic and big TIFF of either byte order; samples of 8 or 16 bits, strips
+Reads classic and big TIFF of either byte order; samples of 1, 2, 4, 8 or 16 bits, strips
 or tiles, chunky or planar, uncompressed, PackBits, LZW or deflate, with or
 without the horizontal predictor.  A page of another kind gives an error row.
 """
@@ -24,17 +24,17 @@ _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12
 _CODES = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 
 
-#: No compression read here grows its bytes by more than about this.
-MOST_GROWTH = 1500
+#: Bytes of a page's samples that a row can hold; a larger page gives an error row.
+MOST_BYTES = 1 << 30
 
 
 class TiffError(ValueError):
     """The bytes aren't a TIFF that this reader understands."""
 
 
-def unpack_packbits(data: bytes) -> bytes:
+def unpack_packbits(data: bytes, need: int = MOST_BYTES) -> bytes:
     out, at = bytearray(), 0
-    while at < len(data):
+    while at < len(data) and len(out) < need:
         n = data[at]
         if n < 128:
             out += data[at + 1 : at + 2 + n]
@@ -65,10 +65,10 @@ def pack_packbits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bit first, that widen one code early; 256 clears and 257 ends."""
+def unpack_lzw(data: bytes, need: int = MOST_BYTES) -> bytes:
+    """Codes of 9 to 12 bits, high bit first, that widen one code early; 256 clears and 257 ends.  ``need`` bytes are enough."""
     table = [bytes((i,)) for i in range(256)] + [b"", b""]
-    out, width, last, bits, held = [], 9, None, 0, 0
+    out, width, last, bits, held, made = [], 9, None, 0, 0, 0
     for byte in data:
         bits, held = bits << 8 | byte, held + 8
         if held < width:
@@ -95,6 +95,9 @@ def unpack_lzw(data: bytes) -> bytes:
                 raise TiffError("LZW: a code before its entry")
             table.append(last + entry[:1])
         out.append(entry)
+        made += len(entry)
+        if made >= need:
+            break
         last = entry
         if len(table) >= (1 << width) - 1 and width < 12:
             width += 1
@@ -144,7 +147,13 @@ def pack_lzw(data: bytes) -> bytes:
 
 
 _PACK = {NONE: bytes, LZW: pack_lzw, DEFLATE: lambda b: zlib.compress(b, 1), OLD_DEFLATE: lambda b: zlib.compress(b, 1), PACKBITS: pack_packbits}
-_UNPACK = {NONE: bytes, LZW: unpack_lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_packbits}
+
+
+def unpack_deflate(data: bytes, need: int = MOST_BYTES) -> bytes:
+    return zlib.decompressobj().decompress(data, need)
+
+
+_UNPACK = {NONE: lambda b, need: b[:need], LZW: unpack_lzw, DEFLATE: unpack_deflate, OLD_DEFLATE: unpack_deflate, PACKBITS: unpack_packbits}
 
 
 def encode_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, rows_per_strip: int | None = None, tile: tuple[int, int] | None = None, order: str = "<") -> bytes:
@@ -219,30 +228,44 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
 
 
 def decode_page(data: bytes, order: str, tags: dict[int, tuple]) -> dict:
-    """Size, layout and samples of one page: pixels are rows of interleaved samples."""
+    """Size, layout and samples of one page: pixels are rows of interleaved samples, of a byte each or, at 16 bits, two.
+
+    Strips and tiles are decoded no further than their part of the page, and
+    before room is made for the page, so a header that claims more than its bytes
+    hold costs nothing.
+    """
     one = lambda tag, default: tags.get(tag, (default,))[0]
     wide, high, samples = one(256, 0), one(257, 0), one(277, 1)
     bits, compression, predictor, planar = one(258, 1), one(259, 1), one(317, 1), one(284, 1)
-    if bits not in (8, 16) or compression not in _UNPACK or predictor not in (1, 2) or not wide or not high:
+    if bits not in (1, 2, 4, 8, 16) or bits < 8 and predictor != 1 or compression not in _UNPACK or predictor not in (1, 2) or not wide or not high:
         raise TiffError(f"not supported: {bits} bits, compression {compression}, predictor {predictor}, {wide} x {high}")
-    if wide * high * samples * bits // 8 > MOST_GROWTH * len(data) + 65536:
-        raise TiffError("a page is larger than its bytes can hold")
-    kind = np.dtype(f"{order}u{bits // 8}")
+    kind = np.dtype(f"{order}u{max(1, bits // 8)}")
+    if wide * high * samples * kind.itemsize > MOST_BYTES:
+        raise TiffError(f"a page of more than {MOST_BYTES} bytes")
     tiled = 324 in tags
     across, down = (one(322, 0), one(323, 0)) if tiled else (wide, min(one(278, high), high))
     places, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
     planes, inner = (samples, 1) if planar == 2 else (1, samples)
-    out = np.zeros((high, wide, samples), kind.newbyteorder("="))
-    spots = [(p, y, x) for p in range(planes) for y in range(0, high, down) for x in range(0, wide, across)]
-    if len(places) < len(spots):
+    spots_many = planes * -(-high // max(1, down)) * -(-wide // max(1, across))
+    if not down or not across or len(places) < spots_many or len(sizes) < spots_many:
         raise TiffError("strips or tiles are missing")
-    for (p, y, x), place, size in zip(spots, places, sizes, strict=False):
+    spots = [(p, y, x) for p in range(planes) for y in range(0, high, down) for x in range(0, wide, across)]
+    line = -(-across * inner * bits // 8)  # bytes of a row, which starts anew at a byte
+    parts = []
+    for (_, y, _), place, size in zip(spots, places, sizes, strict=False):
         rows = down if tiled else min(down, high - y)
-        raw = _UNPACK[compression](data[place : place + size])
-        need = rows * across * inner * kind.itemsize
-        if len(raw) < need:
+        raw = _UNPACK[compression](data[place : place + size], rows * line)
+        if len(raw) < rows * line:
             raise TiffError("a strip or tile is too short")
-        block = np.frombuffer(raw, kind, rows * across * inner).reshape(rows, across, inner).astype(kind.newbyteorder("="))
+        parts.append(raw)
+    out = np.zeros((high, wide, samples), kind.newbyteorder("="))
+    for (p, y, x), raw in zip(spots, parts, strict=True):
+        rows = down if tiled else min(down, high - y)
+        if bits < 8:
+            each = np.unpackbits(np.frombuffer(raw, np.uint8, rows * line).reshape(rows, line), axis=1)[:, : across * inner * bits]
+            block = (each.reshape(rows, across, inner, bits) << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=3, dtype=np.uint8)
+        else:
+            block = np.frombuffer(raw, kind, rows * across * inner).reshape(rows, across, inner).astype(kind.newbyteorder("="))
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=block.dtype)
         part = block[: high - y, : wide - x]
@@ -261,7 +284,8 @@ def tiff_pages(rows: DataFrame, media: str = "media") -> DataFrame:
     error says so and whose further columns are null; pages before that stay.  So
     does a page that can't be decoded, and the pages behind it are read.  A null or
     empty medium, having no pages, gives no row.  Columns of ``rows`` that have
-    the name of a page column are dropped.
+    the name of a page column are dropped.  Repeated rows give repeated rows, an
+    empty table an empty one.
     """
     small_batches(rows.sparkSession)
     made = T._parse_datatype_string(PAGE)
@@ -314,7 +338,9 @@ def text_to_tiff(payload: bytes) -> bytes:
 def store_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media) of each row of ``docs`` (doc_id, text); a null text is empty.
 
-    The payload is the UTF-8 text, filled with spaces to a positive multiple of 192 bytes.
+    The payload is the UTF-8 text, whole, filled with spaces to a positive multiple
+    of 192 bytes.  Repeated rows give repeated results, an empty table an empty
+    one; further columns of any name are left out.
     """
     small_batches(docs.sparkSession)
     row = 3 * ROW_PIXELS

@@ -1,5 +1,6 @@
 import hashlib
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -109,9 +110,37 @@ def test_pages_behind_an_unreadable_one_stay(spark):
     at = struct.unpack_from("<I", data, 4)[0]
     at = struct.unpack_from("<I", data, at + 2 + 12 * struct.unpack_from("<H", data, at)[0])[0]
     bits = next(at + 2 + 12 * k for k in range(10) if struct.unpack_from("<H", data, at + 2 + 12 * k)[0] == 258)
-    struct.pack_into("<H", data, bits + 8, 1)
+    struct.pack_into("<H", data, bits + 8, 32)
     rows = spark.createDataFrame([(1, bytes(data))], "id long, media binary")
     got = sorted(T.tiff_pages(rows).collect(), key=lambda r: r["page"])
     assert [r["page"] for r in got] == [0, 1, 2]
     assert [r["pixels"] for r in got] == [pages[0].tobytes(), None, pages[2].tobytes()]
-    assert "1 bits" in got[1]["error"] and got[0]["error"] is None and got[2]["error"] is None
+    assert "32 bits" in got[1]["error"] and got[0]["error"] is None and got[2]["error"] is None
+
+
+def test_a_blank_page_may_grow_far(monkeypatch):
+    """24 MB of zeros in 12 KB of LZW codes that keep a full table: more than any deflate."""
+    zeros = np.zeros((4000, 6000, 1), np.uint8)
+    monkeypatch.setitem(T._PACK, T.DEFLATE, lambda b: zlib.compress(b, 9))
+    data = T.encode_tiff([zeros], T.DEFLATE, 1)
+    assert zeros.size > 900 * len(data)
+    page = T.decode_page(data, *next(T.directories(data)))
+    assert page["pixels"] == zeros.tobytes()
+    huge = bytearray(data)
+    for tag in (256, 257):  # the header claims a hundred times more than there is
+        at = huge.find(struct.pack("<HHI", tag, 4, 1)) + 8
+        struct.pack_into("<I", huge, at, struct.unpack_from("<I", huge, at)[0] * 3)
+    tracemalloc.start()
+    with pytest.raises((T.TiffError, ValueError)):
+        T.decode_page(bytes(huge), *next(T.directories(bytes(huge))))
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4])
+def test_samples_of_few_bits(bits):
+    image = np.random.default_rng(bits).integers(0, 2**bits, (7, 13, 1)).astype(np.uint8)
+    rows = [np.packbits(np.unpackbits(r[:, None], axis=1)[:, 8 - bits :].reshape(-1)).tobytes() for r in image[:, :, 0]]
+    tags = {256: (13,), 257: (7,), 258: (bits,), 259: (T.PACKBITS,), 273: (0,), 279: (10_000,), 278: (7,)}
+    page = T.decode_page(T.pack_packbits(b"".join(rows)), "<", tags)
+    assert page["pixels"] == image.tobytes() and page["bits"] == bits
