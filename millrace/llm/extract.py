@@ -297,8 +297,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, n_blocks) for every row of ``pages`` (page_id, url, html).
 
     A null or empty html, and a page without content, gives an empty text.
-    Pages are worked on whole, each by itself; repeated rows give repeated
-    results and an empty table an empty one.
+    Pages are worked on whole, each by itself, however long; repeated rows give
+    repeated results and an empty table an empty one.  Further columns of any
+    name are left out.
     """
     small_batches(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(train())  # a few hundred weights

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -16,6 +18,26 @@ def test_blocks():
     assert len(dom.blocks("<div>" * 3000 + "x")) == 1
 
 
+def test_optional_and_missing_tags():
+    show = lambda h: [b.text for b in dom.blocks(h)]
+    assert show("<html><head><meta charset=x><title>t</title><style>no</style><p>one<p>two") == ["one", "two"]
+    assert show("<head><title>t</title>text") == ["text"]
+    assert show("<head><title>t</title></head><body>a<svg><g></svg>b<video>c<p>d") == ["a", "b", "c", "d"]
+    assert show("a<script>if (x < 1) {}") == ["a"]
+    linked = dom.blocks("<p>x <a href='/'>link</a> y <b>z</b></p><p>plain</p>")
+    assert [(b.linked, b.bold) for b in linked] == [(4, True), (0, False)]
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 32_000 + "<p></div></p></x></y>" * 32_000, "<b>x" * 32_000 + "</u>" * 32_000, "<a><div>" + "<b>" * 30_000 + "</a>" * 30_000, "<div>" * 16_000 + "<li>x" * 16_000, "<svg>" * 20_000 + "x"],
+)
+def test_work_follows_the_length_of_a_page(page):
+    began = time.perf_counter()
+    dom.blocks(page)
+    assert time.perf_counter() - began < 20
+
+
 def test_pages_made_from_another_seed(model):
     right = total = 0
     for blocks, labels in extract.labelled_pages(200, seed=99):
