@@ -3,7 +3,7 @@
 A source with target weight ``w`` and ``n`` of all ``N`` documents is repeated
 ``w * N / n`` times on average.  Each document draws its own count by inverting
 the Poisson distribution with that mean at a uniform number that is a hash of
-seed and doc_id: the same document gets the same count in every run and on
+seed, doc_id and text: the same document gets the same count in every run and on
 every machine.  Copies are then dealt out by a second hash, which is also their
 order, so that the whole set is shuffled.
 """
@@ -62,18 +62,20 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, power
 
 
 def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = POWER, seed: int = SEED) -> DataFrame:
-    """``docs`` with each row as often as it is drawn, shuffled, plus copy_no, rate and shuffle_key.
+    """``docs`` (doc_id, source, text, ...) with each row as often as it is drawn, shuffled, plus copy_no, rate and shuffle_key.
 
-    Needs the columns doc_id and source; text may be null or of any length.
-    Rows without doc_id share one draw, as do rows that repeat a doc_id.  An
-    empty table gives an empty result.  Columns of ``docs`` named copy_no, rate
+    text may be null, empty or of any length.
+    Draw and place come from doc_id and text together, so that rows without
+    doc_id, and others that share one, draw each for itself unless they are equal.
+    Rows of one shuffle_key are ordered by doc_id and copy_no.  An empty table
+    gives an empty result.  Columns of ``docs`` named copy_no, rate
     or shuffle_key are replaced.
     """
     docs = docs.drop("copy_no", "rate", "shuffle_key")
     table = materialize(rates(docs, weights, power), "rates").select(F.col("source").alias("__source"), "rate", F.col("chunks").alias("__chunks"), F.col("cdf").alias("__cdf"))
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
 
     def one(sum_: Column, chunk: Column) -> Column:
         u = (_hash(13, F.lit(f"{seed}:poisson"), name, chunk.cast("string")) + F.lit(0.5)) / F.lit(float(2**52))

@@ -21,7 +21,11 @@ def _op4() -> str:
         )
     enough = " OR ".join(f"(rank = {i} AND part >= {least})" for i, (_, _, _, least) in enumerate(secrets.KINDS))
     names = "[" + ", ".join(_quoted(k) for k, *_ in secrets.KINDS) + "]"
-    near = f"RANGE BETWEEN {secrets.SCOPE} PRECEDING AND {secrets.SCOPE} FOLLOWING"
+    before, behind = "(PARTITION BY rid ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "(PARTITION BY rid ORDER BY start RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    near = lambda ranks: (  # noqa: E731  the gap to a span of these kinds that starts before, or behind, is within the scope
+        f"CASE WHEN coalesce(max(CASE WHEN rank IN {ranks} THEN \"end\" END) OVER {before}, -{2**40}) >= start - {secrets.SCOPE} "
+        f"OR coalesce(min(CASE WHEN rank IN {ranks} THEN start END) OVER {behind}, {2**40}) <= \"end\" + {secrets.SCOPE} THEN 1 ELSE 0 END"
+    )
     show = f"concat_ws(':', {names}[rank + 1], start, \"end\")"
     idents = " OR ".join(f"contains(lower(text), '{x}')" for x in ("user", "login", "client_id", "clientid", "account", "access_key", "accesskey"))
     return f"""
@@ -30,10 +34,9 @@ def _op4() -> str:
     h AS ({' UNION ALL '.join(hits)}),
     p AS (SELECT *, sum(gap + len) OVER (PARTITION BY rid, rank ORDER BY pos) AS "end" FROM h),
     s AS (SELECT rid, rank, CAST("end" - len AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM p WHERE ({enough}) AND (rank <> 4 OR mixed)),
-    l AS (SELECT *, max(CASE WHEN rank IN (0, 2, 4) THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY start {near}) AS secret,
-                 max(CASE WHEN rank IN (1, 3, 5) THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY start {near}) AS other,
-                 coalesce(max(CASE WHEN rank < 3 THEN "end" END) OVER (PARTITION BY rid ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) > start AS inside,
-                 coalesce(min(CASE WHEN rank < 3 THEN start END) OVER (PARTITION BY rid ORDER BY start RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 4611686018427387904) < "end" AS across FROM s),
+    l AS (SELECT *, {near("(0, 2, 4)")} AS secret, {near("(1, 3, 5)")} AS other,
+                 coalesce(max(CASE WHEN rank < 3 THEN "end" END) OVER {before}, -1) > start AS inside,
+                 coalesce(min(CASE WHEN rank < 3 THEN start END) OVER {behind}, 4611686018427387904) < "end" AS across FROM s),
     k AS (SELECT * FROM l WHERE rank < 3 OR (NOT inside AND NOT across AND CASE WHEN rank = 4 THEN other ELSE secret END = 1)),
     g AS (SELECT rid, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS b, count(*) FILTER (rank = 2) AS c,
                  string_agg({show}, ',' ORDER BY start, rank, "end") FILTER (rank < 3) AS base, string_agg({show}, ',' ORDER BY start, rank, "end") AS spans FROM k GROUP BY rid)
@@ -45,7 +48,7 @@ def _op4() -> str:
 def _op6() -> str:
     seed, last = mixing.SEED, mixing.TABLE - 1
     number = lambda digits, expr: f"CAST('0x' || substr(md5({expr}), 1, {digits}) AS BIGINT)"
-    name = "coalesce(CAST(doc_id AS VARCHAR), '')"
+    name = "concat(coalesce(CAST(doc_id AS VARCHAR), ''), ':', md5(coalesce(text, '')))"
     return f"""
     WITH c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
     r AS (SELECT source, pow(n, {mixing.POWER}) / (SELECT sum(pow(n, {mixing.POWER})) FROM c) * (SELECT sum(n) FROM c) / n AS rate FROM c),
@@ -60,5 +63,16 @@ def _op6() -> str:
     """
 
 
+def _op7() -> str:
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    digit = f"substr('{letters}', ((CAST('0x' || substr(h, (5 * i) // 4 + 1, 2) AS INTEGER) >> CAST(3 - (5 * i) % 4 AS INTEGER)) & 31) + 1, 1)"
+    return f"""
+    WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+    o AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS owner FROM p)
+    SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: {digit}), '') AS payload_digest,
+           CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> owner THEN owner END AS refers_to, url, true AS intact FROM o
+    """
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secret_scan": _op4(), "op6_source_mixing": _op6()}
+    return {"op4_secret_scan": _op4(), "op6_source_mixing": _op6(), "op7_warc": _op7()}

@@ -2,9 +2,9 @@
 
 Base spans (assignments, access keys, long hex strings) are always reported.
 Identifiers, bare key-like strings and endpoints are weak candidates: one is
-reported only where a complementary part starts within ``SCOPE`` characters of
-it in the same text, found by an interval join over the spans of a text (a
-window ordered by start with a range frame on both sides).
+reported only where no more than ``SCOPE`` characters of the same text lie
+between it and a complementary part, found by an interval join over the spans of
+a text: ordered by start, the furthest end before and the nearest start behind.
 
 A text is split and matched by regular expressions only if a cheap test says
 that it may hold something.  Positions are running sums of the lengths of
@@ -93,12 +93,18 @@ def _linked(hits: DataFrame) -> DataFrame:
     spans = spans.where(enough & ((F.col("rank") != 4) | F.col("mixed"))).select("key", "rank", "start", "end")
 
     by = Window.partitionBy("key").orderBy("start")
-    near, so_far, from_here = by.rangeBetween(-SCOPE, SCOPE), by.rangeBetween(Window.unboundedPreceding, 0), by.rangeBetween(0, Window.unboundedFollowing)
+    so_far, from_here = by.rangeBetween(Window.unboundedPreceding, 0), by.rangeBetween(0, Window.unboundedFollowing)
     base, rank = F.col("rank") < 3, F.col("rank")
+
+    def near(kind: Column) -> Column:
+        before = F.max(F.when(kind, F.col("end"))).over(so_far) >= F.col("start") - SCOPE
+        behind = F.min(F.when(kind, F.col("start"))).over(from_here) <= F.col("end") + SCOPE
+        return F.coalesce(before, F.lit(False)) | F.coalesce(behind, F.lit(False))
+
     linked = spans.select(
         "*",
-        F.max(rank.isin(0, 2, 4)).over(near).alias("secret"),
-        F.max(rank.isin(1, 3, 5)).over(near).alias("other"),
+        near(rank.isin(0, 2, 4)).alias("secret"),
+        near(rank.isin(1, 3, 5)).alias("other"),
         (F.coalesce(F.max(F.when(base, F.col("end"))).over(so_far), F.lit(-1)) > F.col("start")).alias("inside"),
         (F.coalesce(F.min(F.when(base, F.col("start"))).over(from_here), F.lit(2**62)) < F.col("end")).alias("across"),
     )
@@ -143,7 +149,8 @@ def _masked(text: Column, found: Column) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of :func:`scan` masked in text, and n_chars counted anew where there is such a column.
 
-    Spans that overlap share one mask.  All rows stay; a null text stays null.
+    Spans that overlap share one mask.  All rows stay, repeated ones as often as
+    they are there; a null or empty text stays as it is, and so does an empty table.
     """
     hits = materialize(_lists(pick(docs, "doc_id", "text")).where("key is not null").drop("doc_id"), "scanned")
     found = materialize(_linked(hits), "found").select(F.col("key").alias("__key"), F.col("found").alias("__found"))

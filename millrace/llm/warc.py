@@ -6,11 +6,14 @@ valid sequence of members, may live in any store that Spark writes to, and a
 task that is lost or run twice leaves nothing behind.
 
 The reader cuts files into byte ranges.  A task looks for the gzip magic in its
-range, takes a candidate only if it decodes to a record header, reads on past
-the end of the range to finish a record, and owns exactly the records that
-start inside.  A member whose bytes hold the magic by chance is no problem:
-the scan goes on behind the member, and a range that starts within one finds a
-candidate that doesn't decode.
+range, takes a candidate only if it decodes as a member and is followed by
+another one or by the end of the file, reads on past the end of the range to
+finish it, and owns exactly the records whose member starts inside.  A
+member whose bytes hold the magic by chance is no problem: the scan goes on
+behind the member, and a range that starts within one finds a candidate that
+doesn't decode.  A member that was stored uncompressed can hold whole members:
+what a task finds behind the start of its range counts only if ``LOOK`` members
+follow one another there, or all up to the end of the file.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
-from urllib.parse import urlparse
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +35,8 @@ EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x0
 SPLIT_BYTES = 8 << 20
 PIECE = 16 << 10
 LEVEL = 3
+#: Members that must follow one another before a range that doesn't start a file trusts them.
+LOOK = 16
 #: Revisits that may be broadcast to the writers, of less than a hundred bytes each.
 BROADCAST_ROWS = 200_000
 
@@ -65,19 +70,25 @@ def build_record(page_id: str | None, url: str | None, payload: bytes, digest: s
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse_record(data: bytes) -> dict | None:
-    """Fields of one record; None if ``data`` has no record header."""
-    head, found, rest = data.partition(b"\r\n\r\n")
-    if not found or not head.startswith(b"WARC/"):
-        return None
-    fields: dict[str, str] = {}
-    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
-        name, _, value = line.partition(":")
-        fields[name.strip().lower()] = value.strip()
-    try:
-        block = rest[: int(fields.get("content-length", len(rest)))]
-    except ValueError:
-        return None
+def parse_records(data: bytes) -> Iterator[dict]:
+    """Fields of each record of a member, one behind the other; what doesn't start as a record ends them."""
+    at = 0
+    while True:
+        while data[at : at + 1] in (b"\r", b"\n"):
+            at += 1
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0 or data[at : at + 5] != b"WARC/":
+            return
+        fields: dict[str, str] = {}
+        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+            name, _, value = line.partition(":")
+            fields[name.strip().lower()] = value.strip()
+        length = fields.get("content-length", "")
+        at = end + 4 + int(length) if length.isascii() and length.isdigit() else len(data)  # without a length, all that follows
+        yield _record(fields, data[end + 4 : at])
+
+
+def _record(fields: dict[str, str], block: bytes) -> dict:
     payload, declared = block, None
     if fields.get("content-type", "").startswith("application/http"):
         http, _, payload = block.partition(b"\r\n\r\n")
@@ -87,81 +98,137 @@ def parse_record(data: bytes) -> dict | None:
                 declared = int(value)
     kind = fields.get("warc-type")
     digest = fields.get("warc-payload-digest", "").rpartition(":")[2]
+    found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     return {
         "record_id": fields.get("warc-record-id"), "record_type": kind, "target_uri": fields.get("warc-target-uri"), "refers_to": fields.get("warc-refers-to"),
         "payload_bytes": declared if kind == "revisit" and declared is not None else len(payload),
-        "payload_digest": digest if kind == "revisit" else base64.b32encode(hashlib.sha1(payload).digest()).decode(),
-        "intact": kind == "revisit" or not digest or digest == base64.b32encode(hashlib.sha1(payload).digest()).decode(),
+        "payload_digest": digest if kind == "revisit" else found,
+        "intact": kind == "revisit" or not digest or digest == found,
         "payload": None if kind == "revisit" else payload,
     }
 
 
 def records_between(read_at: Callable[[int, int], bytes], start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, decoded member) of each record that starts in [start, end)."""
+    """(offset, decoded member) of each member with records that starts in [start, end)."""
     data = memoryview(whole := read_at(start, end - start + len(MAGIC) - 1))
-    at = 0
-    while 0 <= (at := whole.find(MAGIC, at)) < end - start:
+    at, trusted = 0, start == 0
+    held: list[tuple[int, bytes]] = []  # of a chain of members that isn't trusted yet
+    chain = 0
+    while 0 <= (found := whole.find(MAGIC, at)) < end - start:
+        if chain and found > at:  # the chain broke off
+            held, chain = [], 0
+        at = found
         got = _decode(data, at, read_at, start)
-        if got is None:
+        follower = got and _bytes(data, at + got[0], len(MAGIC), read_at, start)
+        if got is None or follower not in (MAGIC, b"") and not trusted:
+            if got is None and held and _breaks_off(data, at, read_at, start):
+                yield from held
+            held, chain = [], 0
             at += 1
             continue
         length, record = got
         if record:
-            yield start + at, record
+            held.append((start + at, record))
+        chain += 1
         at += length
+        if trusted or chain >= LOOK or follower == b"":
+            trusted = True
+            yield from held
+            held = []
+    if held and _goes_on(data, at, read_at, start, LOOK - chain):
+        yield from held
+
+
+def _goes_on(data: memoryview, at: int, read_at: Callable[[int, int], bytes], base: int, members: int) -> bool:
+    """Whether so many members follow one another from ``at``, or all up to the end of the file, be it that the last breaks off."""
+    for _ in range(members):
+        if not _bytes(data, at, 1, read_at, base):
+            return True
+        got = _decode(data, at, read_at, base)
+        if got is None:
+            return _breaks_off(data, at, read_at, base)
+        at += got[0]
+    return True
+
+
+def _breaks_off(data: memoryview, at: int, read_at: Callable[[int, int], bytes], base: int) -> bool:
+    """Whether a member starts at ``at`` that the file's end cuts."""
+    unpacker, pos = zlib.decompressobj(31), at
+    try:
+        while not unpacker.eof:
+            if not (piece := _bytes(data, pos, PIECE, read_at, base)):
+                return True
+            unpacker.decompress(piece)
+            pos += len(piece)
+    except zlib.error:
+        pass
+    return False
+
+
+def _bytes(data: memoryview, at: int, n: int, read_at: Callable[[int, int], bytes], base: int) -> bytes:
+    return bytes(data[at : at + n]) if at + n <= len(data) else read_at(base + at, n)
 
 
 def _decode(data: memoryview, at: int, read_at: Callable[[int, int], bytes], base: int) -> tuple[int, bytes] | None:
-    """Length and content of the member at ``at``; None if there is no record (an empty member has no content)."""
-    unpacker, out, pos, checked = zlib.decompressobj(31), [], at, False
+    """Length of the member at ``at`` and its content if that starts as a record, else nothing; None if there is no whole member."""
+    unpacker, out, pos, first = zlib.decompressobj(31), [], at, b""
     try:
         while not unpacker.eof:
-            piece = data[pos : pos + PIECE] if pos < len(data) else read_at(base + pos, PIECE)
+            piece = data[pos : pos + PIECE] if pos < len(data) else read_at(base + pos, PIECE)  # a view, not a copy
             if not len(piece):
                 return None
             out.append(unpacker.decompress(piece))
             pos += len(piece)
-            if not checked and (out[0] or unpacker.eof):
+            if len(first) < 5:
                 first = b"".join(out)[:5]
-                if first != b"WARC/"[: len(first)]:
-                    return None
-                checked = len(first) == 5
-            elif not out[0]:
-                out.pop()
+            if first != b"WARC/"[: len(first)]:
+                out = []  # not a record, but a member all the same
     except zlib.error:
         return None
-    return pos - at - len(unpacker.unused_data), b"".join(out)
+    return pos - at - len(unpacker.unused_data), b"".join(out) if first == b"WARC/" else b""
 
 
-def _opener(path: str) -> Callable[[int, int], bytes]:
-    if path.startswith("file:") or "://" not in path:
-        f = open(urlparse(path).path if path.startswith("file:") else path, "rb")  # noqa: SIM115  closed with the generator's task
+@contextmanager
+def _opened(path: str) -> Iterator[Callable[[int, int], bytes]]:
+    """A reader of byte ranges of a file, whatever characters its name has."""
+    scheme, found, rest = path.partition("://")
+    if not found or scheme == "file":
+        f = open(rest if found else path.removeprefix("file:"), "rb")  # noqa: SIM115
     else:
         from pyarrow import fs
 
-        store, inner = fs.FileSystem.from_uri(path)
-        f = store.open_input_file(inner)
+        host, _, key = rest.partition("/")
+        store, base = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+        f = store.open_input_file(f"{base.rstrip('/')}/{key}")
 
     def read_at(at: int, n: int) -> bytes:
         f.seek(at)
         return f.read(n)
 
-    return read_at
+    try:
+        yield read_at
+    finally:
+        f.close()
 
 
 RECORD = (
-    "path string, offset long, record_id string, record_type string, target_uri string, refers_to string, "
+    "path string, offset long, number int, record_id string, record_type string, target_uri string, refers_to string, "
     "payload_bytes long, payload_digest string, intact boolean, payload binary"
 )
 
 
 def read_archives(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
-    """One row per record of all files in ``path``; each task takes byte ranges of ``split_bytes``.
-
-    The folder must be open to the workers (a shared mount, or a store that
-    pyarrow can read).  payload is null for revisits and if ``payloads`` is false.
+    """One row per record of all gzip files in ``path``, whatever their names; each task takes byte ranges of ``split_bytes``.
+
+    ``path`` is a folder or a file, open to the workers (a shared mount, or a store
+    that pyarrow can read).  offset is where a record's member starts, number its
+    place in the member.  payload is null for revisits and if ``payloads`` is
+    false.  A member that breaks off, or that has no record, gives no row.  A file
+    that is one member is read by one task, as gzip can't be entered within a
+    member.  Files whose names start with a dot or an underscore are left out; an
+    empty folder gives an empty table.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length").where("length > 0")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length").where("length > 0")
     splits = files.select("path", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(split_bytes))).alias("start"), "length")
     total = files.agg(F.sum(F.ceil(F.col("length") / split_bytes))).first()[0] or 1
     splits = splits.repartition(int(min(total, 100_000)), "path", "start")
@@ -169,23 +236,24 @@ def read_archives(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                read_at, rows, held = _opener(row["path"]), [], 0
-                for offset, data in records_between(read_at, row["start"], min(row["start"] + split_bytes, row["length"])):
-                    if (record := parse_record(data)) is not None:
-                        if not payloads:
-                            record["payload"] = None
-                        rows.append({"path": row["path"], "offset": offset} | record)
-                        held += len(record["payload"] or b"") + 500
-                    if held > 8 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
-                        rows, held = [], 0
+                rows, held = [], 0
+                with _opened(row["path"]) as read_at:
+                    for offset, data in records_between(read_at, row["start"], min(row["start"] + split_bytes, row["length"])):
+                        for number, record in enumerate(parse_records(data)):
+                            if not payloads:
+                                record["payload"] = None
+                            rows.append({"path": row["path"], "offset": offset, "number": number} | record)
+                            held += len(record["payload"] or b"") + 500
+                            if held > 8 << 20:
+                                yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
+                                rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
     return splits.mapInArrow(scan, RECORD)
 
 
 ARROW = pa.schema([
-    ("path", pa.string()), ("offset", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()),
+    ("path", pa.string()), ("offset", pa.int64()), ("number", pa.int32()), ("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.string()),
     ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("intact", pa.bool_()), ("payload", pa.binary()),
 ])
 
@@ -197,7 +265,9 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     least page_id is a response and the others are revisits of it.  A null html
     is an empty payload; a null url leaves its header out; a row without page_id
     is never the least if another row has one, and rows that share the least
-    page_id are all responses.  An empty table writes no record.
+    page_id are all responses.  Payloads are told apart by their SHA-1.  Repeated
+    rows are written as often as they are there, payloads of any length whole, and
+    an empty table writes no record.  Further columns of any name are left out.
     """
     spark = pages.sparkSession
     small_batches(spark)

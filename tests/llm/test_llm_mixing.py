@@ -17,7 +17,7 @@ def slow_counts(rows, weights=None, power=0.5):
         rate = w[s] / total * len(rows) / n[s] if total else 0.0
         chunks = max(1, math.ceil(rate / M.CHUNK))
         for j in range(chunks):
-            name = "" if d is None else d
+            name = f"{'' if d is None else d}:{hashlib.md5(f'text {d}'.encode()).hexdigest()}"
             u = (int(hashlib.md5(f"{M.SEED}:poisson:{name}:{j}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
             k, p = 0, math.exp(-rate / chunks)
             c = p
@@ -69,6 +69,15 @@ def test_same_every_time_and_shuffled(spark):
     assert sum(x < y for x, y in zip(ids, ids[1:], strict=False)) < 0.6 * len(ids)
 
 
+def test_rows_without_id_draw_each_for_itself(spark):
+    """A third of the rows has no doc_id: they neither share a draw nor a place."""
+    rows = [(None if i % 3 == 0 else i, "a", f"text {i}") for i in range(3000)]
+    df = M.replicate(spark.createDataFrame(rows, "doc_id long, source string, text string"), {"a": 1.0})
+    hot = df.where("doc_id is null")
+    assert hot.select("shuffle_key").distinct().count() == hot.count()
+    assert len({r["n"] for r in hot.groupBy("text").agg(F.count("*").alias("n")).collect()}) > 2
+
+
 def test_odd_tables(spark):
     assert M.replicate(frame(spark, ROWS).limit(0)).count() == 0
     odd = spark.createDataFrame([(1, None, None, 5), (1, None, None, 5), (None, "a", "t", 6), (None, "a", "t", 6)], "doc_id long, source string, text string, rate int")

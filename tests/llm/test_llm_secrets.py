@@ -64,6 +64,16 @@ def test_weak_parts_count_only_together(spark):
     assert kinds(spark, f"user: bob {far}password=hunter2hunter2") == ["assign"]
 
 
+def test_scope_counts_what_lies_between(spark):
+    """A part right behind a long one is near it, however far its start is."""
+    key, long = "Zm9vYmFyYmF6cXV4Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MA", "https://h.example/" + "x" * 400
+    assert kinds(spark, f"{long} {key}") == ["linked_endpoint", "linked_secret"]
+    assert kinds(spark, f"{key} {'-' * 150} {long}") == ["linked_secret", "linked_endpoint"]
+    assert kinds(spark, f"{long} {'-' * 198} {key}") == ["linked_endpoint", "linked_secret"]
+    assert kinds(spark, f"{long} {'-' * 199} {key}") == []
+    assert kinds(spark, f"{key} {'-' * 199} {long}") == []
+
+
 def test_redaction(spark):
     rows = texts()
     df = spark.createDataFrame([(i, t, len(t or ""), "x") for i, t in enumerate(rows)], "doc_id long, text string, n_chars long, found string")
