@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import materialize
+from millrace.llm.shared import materialize, settled
 
 SEED = 17
 #: Default target weight of a source: its share of documents to this power, scaled.
@@ -72,7 +72,7 @@ def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, p
     or shuffle_key are replaced.
     """
     docs = docs.drop("copy_no", "rate", "shuffle_key")
-    table = materialize(rates(docs, weights, power), "rates").select(F.col("source").alias("__source"), "rate", F.col("chunks").alias("__chunks"), F.col("cdf").alias("__cdf"))
+    table = settled(docs.sparkSession, "rates", lambda: rates(docs, weights, power)).select(F.col("source").alias("__source"), "rate", F.col("chunks").alias("__chunks"), F.col("cdf").alias("__cdf"))
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
     name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import materialize, pick
+from millrace.llm.shared import materialize, pick, settled
 
 SCOPE = 200
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -152,8 +152,8 @@ def redact(docs: DataFrame) -> DataFrame:
     Spans that overlap share one mask.  All rows stay, repeated ones as often as
     they are there; a null or empty text stays as it is, and so does an empty table.
     """
-    hits = materialize(_lists(pick(docs, "doc_id", "text")).where("key is not null").drop("doc_id"), "scanned")
-    found = materialize(_linked(hits), "found").select(F.col("key").alias("__key"), F.col("found").alias("__found"))
+    hits = lambda: materialize(_lists(pick(docs, "doc_id", "text")).where("key is not null").drop("doc_id"), "scanned")
+    found = settled(docs.sparkSession, "found", lambda: _linked(hits())).select(F.col("key").alias("__key"), F.col("found").alias("__found"))
     size = found.agg(F.count("*"), F.coalesce(F.sum(F.size("__found")), F.lit(0))).first()
     worth = F.col("m0") | F.col("m1") | F.col("m2") | F.col("m3") | F.col("m4")
     keyed = _marked(docs).select(*docs.columns, F.when(worth, F.md5("text")).alias("__own"))

@@ -1,15 +1,21 @@
-"""Reading tables, the shared work folder, and bounded Arrow batches."""
+"""Reading tables, tables that last for a while, and bounded Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources import work
+from millrace.sources.work import drop_path, written
+
+__all__ = ["drop_path", "fresh_path", "materialize", "pick", "scratch", "settled", "small_batches", "table", "written"]
+
 #: Rows of an Arrow batch handed to Python.  Texts are long, so a batch stays small.
 BATCH_ROWS = 512
+_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,48 +23,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Python worker holds at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound what one Python worker holds at a time.
 
+    Plans read the setting when they run, so it can't be put back before; a
+    session that asks for smaller batches keeps its own.
+    """
+    if not 0 < int(spark.conf.get(_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(_SETTING, str(BATCH_ROWS))
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (local tests) a temporary folder takes its place;
-    it is then put into the session so that later calls use the same one.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+#: Paths of tables that are still there, in the order in which they were asked for.
+_MADE: list[str] = []
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
+    _MADE.append(work.fresh_path(spark, label))
+    return _MADE[-1]
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs a reread of files, not a
-    recomputation, and several consumers share one evaluation.
-    """
-    return written(df, fresh_path(df.sparkSession, label))
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the tables whose paths were asked for inside."""
+    first = len(_MADE)
+    try:
+        yield
+    finally:
+        for path in _MADE[first:]:
+            drop_path(spark, path)
+        del _MADE[first:]
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """``df`` as a Parquet table at ``path``, of which the caller can dispose."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back; see :func:`written`."""
+    return written(df, fresh_path(df.sparkSession, label))
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def settled(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """:func:`materialize` of what ``make`` gives; the tables that it made on the way are removed."""
+    path = fresh_path(spark, label)
+    with scratch(spark):
+        return written(make(), path)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

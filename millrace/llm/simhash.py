@@ -21,11 +21,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.components import components
-from millrace.llm.shared import materialize, pick, small_batches
+from millrace.llm.shared import materialize, pick, settled, small_batches
 
 RADIUS = 4
 #: Fingerprints for which a shard is home, on average, at most.
@@ -57,17 +58,17 @@ def simhash(raw: bytes | None, k: int = 4) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
-    """(doc_id, fp: long) of every row of ``docs`` (doc_id, text)."""
+def fingerprints(docs: DataFrame, k: int = 4, *also: str) -> DataFrame:
+    """(doc_id, fp: long), and the columns ``also``, of every row of ``docs`` (doc_id, text)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = pa.array((simhash(x.as_py(), k) for x in batch.column(1)), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, *batch.columns[2:]], names=["doc_id", "fp", *also])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(F.col("doc_id"), F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, fp long")
+    shape = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType()), *(docs.schema[n] for n in also)])
+    return docs.select(F.col("doc_id"), F.col("text").cast("binary"), *also).mapInArrow(run, shape)
 
 
 def _quarter(fps: np.ndarray, q: int) -> np.ndarray:
@@ -99,11 +100,11 @@ def _top_tree(points: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return pivot, mu
 
 
-def _route(fps: np.ndarray, trees: list[tuple[np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shards that the ball around each fingerprint overlaps: (shard, fp, home)."""
+def _route(fps: np.ndarray, trees: list[tuple[np.ndarray, np.ndarray]], depth: int, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shards that the ball around each fingerprint overlaps: (shard, fp, home); for fingerprints ``of`` that ``fps`` names, their names."""
     shards, whose, homes = [], [], []
     for q, (pivot, mu) in enumerate(trees):
-        value = _quarter(fps, q)
+        value = _quarter(fps if of is None else of, q)
         row, node, home = np.arange(len(fps)), np.ones(len(fps), np.int64), np.ones(len(fps), bool)
         for _ in range(depth):
             d = np.bitwise_count(value[row] ^ pivot[node]).astype(np.int8)
@@ -203,26 +204,66 @@ def shard_links(fps: np.ndarray, home: np.ndarray, q: int, radius: int = RADIUS)
     return fps.view(np.int64)[pairs]
 
 
-def links(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(a, b) of distinct fingerprints ``nodes`` (fp): a forest with the classes of all pairs in reach."""
+def _crowded(dealt: DataFrame, most: int) -> np.ndarray:
+    """Shards that are home to more than ``most`` fingerprints; there are no more of them than four for each ``most`` rows."""
+    return np.array([r[0] for r in dealt.where("home").groupBy("shard").count().where(F.col("count") > most).select("shard").collect()], np.int64)
+
+
+def links(nodes: DataFrame, shard_rows: int = SHARD_ROWS, most: int | None = None) -> DataFrame:
+    """(a, b) of distinct fingerprints ``nodes`` (fp): a forest with the classes of all pairs in reach.
+
+    A shard that is home to over ``most`` fingerprints is dealt out anew by the trees of the
+    three other quarters: a pair that meets there agrees to within one bit on one
+    more quarter, which is one of these.
+    """
     spark = nodes.sparkSession
     n = nodes.count()
+    most = most or 4 * shard_rows
     depth = min(16, max(LEAST_DEPTH, int(np.ceil(np.log2(max(1, n / shard_rows))))))
     sample = np.array([r[0] for r in nodes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE_ROWS).collect()], np.int64)
     trees = [_top_tree(_quarter(sample, q), depth) for q in range(4)]
     sent = spark.sparkContext.broadcast(trees)  # 2^depth entries of three bytes for each quarter
+    shape = "shard int, sub int, fp long, home boolean"
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch], crowded: np.ndarray) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shard, fp, home = _route(batch.column(0).to_numpy(zero_copy_only=False), sent.value, depth)
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(fp), pa.array(home)], names=["shard", "fp", "home"])
+            sub = np.full(len(shard), -1)
+            full = np.flatnonzero(np.isin(shard, crowded))
+            if len(full):
+                again, whose, at_home = _route(np.arange(len(full)), sent.value, depth, fp[full])
+                other = again >> depth != shard[full][whose] >> depth
+                again, whose, at_home = again[other], full[whose[other]], at_home[other]
+                rest = np.flatnonzero(~np.isin(shard, crowded))
+                sub = np.concatenate((sub[rest], again))
+                shard, fp, home = np.concatenate((shard[rest], shard[whose])), np.concatenate((fp[rest], fp[whose])), np.concatenate((home[rest], home[whose] & at_home))
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(sub.astype(np.int32)), pa.array(fp), pa.array(home)], names=["shard", "sub", "fp", "home"])
 
     def link(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         found = shard_links(rows["fp"].to_numpy(), rows["home"].to_numpy(), int(key[0]) >> depth)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
-    dealt = nodes.select("fp").mapInArrow(deal, "shard int, fp long, home boolean")
-    return dealt.groupBy("shard").applyInPandas(link, "a long, b long").distinct()
+    fps = nodes.select("fp")
+    crowded = np.zeros(0, np.int64)
+    if n > most:  # else no shard can have so many: a fingerprint has one home in each quarter
+        crowded = _crowded(fps.mapInArrow(lambda batches: deal(batches, np.zeros(0, np.int64)), shape), most)
+    dealt = fps.mapInArrow(lambda batches: deal(batches, crowded), shape)
+    return dealt.groupBy("shard", "sub").applyInPandas(link, "a long, b long").distinct()
+
+
+def _grouped(marked: DataFrame, first: Column) -> DataFrame:
+    """(fp, first) of the fingerprints of ``marked`` (fp, ...) in classes of several rows: the least ``first`` of the class."""
+
+    def make() -> DataFrame:
+        spark = marked.sparkSession
+        nodes = materialize(marked.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")), "nodes")
+        linked = settled(spark, "linked", lambda: components(links(nodes)))
+        named = linked.join(nodes, linked["node"] == nodes["fp"]).select("node", "root", "first")
+        named = named.join(named.groupBy("root").agg(F.min("first").alias("least")), "root").select(F.col("node").alias("fp"), F.col("least").alias("first"))
+        alone = nodes.where("n > 1").join(linked, nodes["fp"] == linked["node"], "left_anti").select("fp", "first")
+        return named.union(alone)
+
+    return settled(marked.sparkSession, "grouped", make)
 
 
 def classes(docs: DataFrame, k: int = 4) -> DataFrame:
@@ -231,16 +272,12 @@ def classes(docs: DataFrame, k: int = 4) -> DataFrame:
     component_id is the least doc_id reachable over fingerprints that differ in
     at most four bits.  Null and wordless texts have fingerprint 0 and are linked
     like any other.  Rows without doc_id take part by their fingerprint but never
-    name a class (component_id null if a class has no doc_id at all).  Repeated
-    rows come out as often as they went in; an empty table gives an empty result.
+    name a class (component_id null if a class has no doc_id at all).  Texts of any
+    length are read whole.  Repeated rows come out as often as they went in; an
+    empty table gives an empty result; further columns of any name are left out.
     """
     marked = materialize(fingerprints(pick(docs, "doc_id", "text"), k), "fingerprints")
-    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
-    linked = materialize(components(links(nodes)), "linked")
-    named = linked.join(nodes, linked["node"] == nodes["fp"]).select("node", "root", "first")
-    named = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select(F.col("node").alias("fp"), "component_id")
-    alone = nodes.where("n > 1").join(linked, nodes["fp"] == linked["node"], "left_anti").select("fp", F.col("first").alias("component_id"))
-    grouped = materialize(named.union(alone), "grouped").withColumn("known", F.lit(True))
+    grouped = _grouped(marked, F.col("doc_id")).select("fp", F.col("first").alias("component_id"), F.lit(True).alias("known"))
     return marked.join(grouped, "fp", "left").select(
         "doc_id", "fp", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
@@ -254,20 +291,35 @@ def hex16(fp: str = "fp"):
 BROADCAST_ROWS = 1_000_000
 
 
+def _key() -> list[Column]:
+    """128 bits that tell rows apart by doc_id and text."""
+    return [F.xxhash64("doc_id", "text").alias("__k1"), F.xxhash64("text", "doc_id", F.lit("row")).alias("__k2")]
+
+
 def keep_one(docs: DataFrame, k: int = 4) -> DataFrame:
-    """``docs`` with one row of each near-duplicate class, the one with the least doc_id.
+    """``docs`` with one row of each near-duplicate class: the one with the least doc_id.
 
-    Of rows that also share that doc_id one stays.  Rows without doc_id can't be
-    told apart from their copies and stay.  The columns are those of ``docs``.
+    Of rows that share that doc_id, and of a class without any, the one with the
+    least hash of doc_id and text stays; of rows equal in both, one.  The columns
+    are those of ``docs``, whatever their names.  An empty table stays empty.
     """
-    found = materialize(classes(docs, k), "classes")
-    losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
-    gone = losers.count()
-    losers = F.broadcast(losers) if gone <= BROADCAST_ROWS else losers
-    kept = docs.join(losers, docs["doc_id"] == F.col("__gone"), "left_anti")
+    spark = docs.sparkSession
+    names = ["__k1", "__k2"]
+
+    def fates() -> DataFrame:
+        marked = materialize(fingerprints(docs.select("doc_id", "text", *_key()), k, *names), "fingerprints")
+        grouped = _grouped(marked, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *names))
+        rows = marked.join(grouped, "fp").select(*names, ((F.col("__k1") == F.col("first")["__k1"]) & (F.col("__k2") == F.col("first")["__k2"])).alias("stays"))
+        return rows.groupBy(*names, "stays").agg(F.count("*").alias("n")).where("n > 1 or not stays")
+
+    found = settled(spark, "fates", fates)
+    gone, repeated = (found.where(c).select(*[F.col(n).alias(f"_{n}") for n in names]) for c in ("not stays", "stays"))
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    keyed = docs.select("*", *_key())
+    same = [F.col("__k1") == F.col("___k1"), F.col("__k2") == F.col("___k2")]
+    kept = keyed.join(gone, same, "left_anti")
     if repeated.isEmpty():
-        return kept
-    unique = kept.join(repeated, kept["doc_id"] == F.col("__twice"), "left_anti")
-    twice = kept.join(repeated, kept["doc_id"] == F.col("__twice"), "left_semi").dropDuplicates(["doc_id"])
-    return unique.unionByName(twice)
+        return kept.drop(*names)
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(names)
+    return kept.join(repeated, same, "left_anti").unionByName(once).drop(*names)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import materialize, pick, small_batches
+from millrace.llm.shared import materialize, pick, scratch, settled, small_batches
 
 MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
@@ -272,10 +272,17 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     spark = pages.sparkSession
     small_batches(spark)
     rows = pick(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit(""))).withColumn("digest", F.sha1("html"))
-    ids = materialize(rows.where(F.octet_length("html") >= min_bytes).select("page_id", "digest"), "ids")
-    owners = ids.groupBy("digest").agg(F.min("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1 and owner is not null").drop("n")
-    revisits = ids.join(owners, "digest").where("not (page_id <=> owner)").select(F.col("page_id").alias("rp"), F.col("digest").alias("rd"), "owner").distinct()
-    revisits = materialize(revisits, "revisits")
+
+    def others() -> DataFrame:
+        ids = materialize(rows.where(F.octet_length("html") >= min_bytes).select("page_id", "digest"), "ids")
+        owners = ids.groupBy("digest").agg(F.min("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1 and owner is not null").drop("n")
+        return ids.join(owners, "digest").where("not (page_id <=> owner)").select(F.col("page_id").alias("rp"), F.col("digest").alias("rd"), "owner").distinct()
+
+    with scratch(spark):
+        _write(rows, settled(spark, "revisits", others), path)
+
+
+def _write(rows: DataFrame, revisits: DataFrame, path: str) -> None:
     if revisits.count() <= BROADCAST_ROWS:
         revisits = F.broadcast(revisits)
     marked = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("rp")) & (F.col("digest") == F.col("rd")), "left")

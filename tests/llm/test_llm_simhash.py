@@ -101,7 +101,50 @@ def test_keep_one(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
     got = S.keep_one(df)
     assert got.columns == df.columns
-    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in got.collect()) == [(False, 3), (False, 7), (True, None)]
+    assert sorted(r["doc_id"] for r in got.collect()) == [3, 7]
+
+
+def test_keep_one_goes_by_rows(spark):
+    """A doc_id that stands for several texts, and rows without any."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, c), (None, a), (5, b), (4, "x y z"), (4, "other words, none the same"), (None, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for _ in range(2):
+        assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in S.keep_one(df).collect()))) == sorted(map(repr, [(1, a), (2, b), (None, c), (4, "x y z"), (4, "other words, none the same"), (8, "")]))
+    assert S.keep_one(df.where("doc_id is null and text is not null")).count() == 2
+
+
+def test_crowded_shards_lose_no_link(spark):
+    """A third of all fingerprints share a quarter, and some differ from one another by up to four bits."""
+    r = np.random.default_rng(5)
+    fps = [int(x) for x in r.integers(-(2**63), 2**63, 400)]
+    fps += [(x & ~0xFFFF) | 0x1234 for x in fps[:200]]
+    for x in fps[:150] + fps[400:500]:
+        flips = r.choice(64, r.integers(1, 5), replace=False)
+        fps.append(int(np.uint64(x % 2**64 ^ sum(1 << int(f) for f in flips)).view(np.int64)))
+    fps = sorted(set(fps))
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    near = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if apart(a, b) <= 4]
+
+    def classes(pairs):
+        up = {x: x for x in fps}
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in pairs:
+            up[find(a)] = find(b)
+        groups = {}
+        for x in fps:
+            groups.setdefault(find(x), set()).add(x)
+        return {frozenset(g) for g in groups.values()}
+
+    sizes = S._crowded(df.mapInArrow(lambda bs: iter(()), "shard int, sub int, fp long, home boolean"), 1)
+    assert len(sizes) == 0
+    for most in (20, 120, 10**6):
+        assert classes([(x["a"], x["b"]) for x in S.links(df, most=most).collect()]) == classes(near)
 
 
 def test_odd_tables(spark):
