@@ -1,4 +1,6 @@
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -62,10 +64,75 @@ def test_odd_rows(spark, docs):
     assert L.predict(clash, L.fit(clash)).columns == ["doc_id", "lang_pred", "score"]
 
 
-def test_stage_keeps_clean_documents(spark, docs):
-    more = spark.createDataFrame([(10001, None), (10002, "... 123"), (10003, " ".join(f"zqx{chr(97 + i % 26)}{chr(97 + i * 5 % 26)}vwkj" for i in range(200)))], "doc_id long, text string")
+ITALIAN = "La lingua italiana viene parlata in tutto il territorio della penisola da milioni di persone che vivono nelle grandi città e nelle campagne. "
+FINNISH = "Suomen kieltä puhuu noin viisi miljoonaa ihmistä, joista suurin osa asuu Suomessa ja loput muualla maailmassa. "
+RUSSIAN = "Русский язык является одним из самых распространённых языков мира, на нём говорят миллионы людей. "
+
+
+def test_stage_rejects_other_languages_and_keeps_clean_documents(spark, docs):
+    r = random.Random(0)
+    letters = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 9))) for _ in range(n)) for n in (40, 100, 300) for _ in range(5)]
+    german = [x["text"] for x in docs.where("lang = 'de' and n_chars > 200").orderBy("doc_id").limit(10).collect()]
+    bad = [(None, None), ("", None), ("... 123", "en"), *((t * 3, None) for t in (ITALIAN, FINNISH, RUSSIAN)), *((t, None) for t in letters), *((t, "en") for t in german)]
+    more = spark.createDataFrame([(10_001 + i, *x) for i, x in enumerate(bad)], "doc_id long, text string, lang string")
     all_ = docs.unionByName(more, allowMissingColumns=True)
-    kept = L.keep_identified(all_, 0.05)
-    ids = {r[0] for r in kept.select("doc_id").collect()}
-    assert kept.columns == docs.columns and 10001 not in ids and 10002 not in ids
-    assert {r[0] for r in docs.select("doc_id").collect()} <= ids
+    kept = L.keep_identified(all_)
+    ids = {x[0] for x in kept.select("doc_id").collect()}
+    clean = {x[0] for x in docs.select("doc_id").collect()}
+    assert kept.columns == docs.columns
+    assert len(ids & clean) >= 0.99 * len(clean)
+    assert len(ids - clean) <= 1
+    none = more.where("lang is null")  # nothing to learn from: only texts without letters go
+    assert {x[0] for x in L.keep_identified(none).select("doc_id").collect()} == {10_001 + i for i, (t, lang) in enumerate(bad) if lang is None and t}
+    assert L.keep_identified(docs.limit(0)).count() == 0
+
+
+def slow_bundle(text):
+    """(sum of trigram vectors, their number), from the definition, one trigram at a time."""
+
+    def code(c):
+        low = ord(c.lower()[0])
+        return 0 if not c.isalpha() else low - 96 if 97 <= low <= 122 else 27 + (low - 0xC0) % 64 if 0xC0 <= low < 0x250 else 91 + low % 37
+
+    words = "".join(chr(code(c)) for c in text or "").split("\0")
+    joined = "\0" + "\0".join(w for w in words if w) + "\0"
+    out = np.zeros(L.DIMENSIONS)
+    if len(joined) < 3:
+        return out, 0
+    for (a, b, c), n in Counter(zip(joined, joined[1:], joined[2:], strict=False)).items():
+        out += n * np.roll(LETTERS[ord(a)], 2) * np.roll(LETTERS[ord(b)], 1) * LETTERS[ord(c)]
+    return out, len(joined) - 2
+
+
+LETTERS = np.random.default_rng(L.SEED).integers(0, 2, (L.CODES, L.DIMENSIONS), np.int8).astype(int) * 2 - 1
+
+
+def slow_prototypes(labelled):
+    sums = {}
+    for (v, n), lang in labelled:
+        if lang is not None and n:
+            sums[lang] = sums.get(lang, 0) + v / np.linalg.norm(v)
+    names = sorted(sums)
+    units = np.array([sums[n] / np.linalg.norm(sums[n]) for n in names])
+    units -= units.mean(axis=0)
+    return names, units / np.linalg.norm(units, axis=1, keepdims=True)
+
+
+def slow_prediction(rows, held_out):
+    names, units = slow_prototypes([(slow_bundle(t), lang) for d, t, lang in rows if not held_out(d)])
+    out = {}
+    for d, text, _ in rows:
+        v, n = slow_bundle(text)
+        c = units @ v / np.linalg.norm(v) if n else None
+        out[d] = ("und", 0.0) if c is None else (names[int(c.argmax())], max(0.0, float(c.max())))
+    return out
+
+
+def test_predictions_are_brute_force(spark, docs):
+    rows = [(x["doc_id"], x["text"], x["lang"]) for x in docs.where("n_chars < 600").orderBy("doc_id").limit(120).collect()]
+    rows += [(20_001, None, "en"), (20_002, "", None), (20_003, "42!", "de"), (20_004, "Größe für alle", None), (20_005, "漢字 кириллица", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in L.predict(df, L.fit(df)).collect()}
+    want = slow_prediction(rows, lambda d: zlib.crc32(str(d).encode()) % 4 == 2)
+    assert {d: p for d, (p, _) in got.items()} == {d: p for d, (p, _) in want.items()}
+    assert all(got[d][1] == pytest.approx(want[d][1], abs=1e-4) for d in got)
