@@ -1,10 +1,11 @@
 """Toxicity by a classifier chain of linear models.
 
-The categories are predicted one after the other: ``junk`` (quality label 0),
-``dense`` (toxic, with more than the usual share of toxic words) and ``toxic``
-(the label itself).  Each model is a logistic regression on the same features
-and on the probabilities of the earlier categories.  For training these are
-out-of-fold: a row's come from models that were fitted without it.
+The categories, all labelled, are predicted one after the other: ``junk``
+(quality 0), ``toxic_junk`` and ``toxic_text`` (toxic, of quality 0 and other),
+and ``toxic``.  Each model is a logistic regression on the same features and on
+the probabilities of the earlier categories.  For training these are
+out-of-fold: a row's come from models whose features, scale and weights were
+chosen without the rows of its fold.
 
 Features are words and word beginnings of four to seven letters whose presence
 separates the toxic rows of the sample, and a few shapes of the text.  The fit
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import materialize, pick, small_batches
+from millrace.llm.shared import materialize, pick, scratch, small_batches
 
 #: Labelled rows that the fit reads, about; chosen by a hash of doc_id.
 FIT_ROWS = 12_000
@@ -33,7 +34,7 @@ FEATURES = 768
 #: A feature needs this many toxic rows, and its log-ratio of rates must, two standard errors off, be this much.
 LEAST_ROWS, LEAST_RATIO = 3, 0.2
 FOLDS = 4
-CATEGORIES = ("junk", "dense", "toxic")
+CATEGORIES = ("junk", "toxic_junk", "toxic_text", "toxic")
 SHAPES = 6
 #: Words whose features a worker keeps.
 CACHE_WORDS = 400_000
@@ -49,7 +50,10 @@ def shapes(text: str, counts: Counter, total: int) -> list[float]:
     n = max(1, len(text))
     letters = sum(map(len, counts)) and sum(len(w) * c for w, c in counts.items())
     lower = text.lower()
-    capitals = sum(a != b for a, b in zip(text, lower, strict=False)) if len(text) == len(lower) else 0
+    if len(text) == len(lower):
+        capitals = sum(a != b for a, b in zip(text, lower, strict=True))
+    else:  # letters that are several in lower case
+        capitals = sum(c != c.lower() for c in text)
     return [math.log1p(total) / 10, len(counts) / max(1, total), 1 - letters / n, capitals / n, sum(map(text.count, "0123456789")) / n, text.count("\n") / n]
 
 
@@ -106,55 +110,97 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 300, decay: float = 2e-4
     return w
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[np.ndarray]:
-    """Weights of each category in turn; earlier ones enter by out-of-fold probabilities."""
+def _scaled(x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and scale of the features over ``rows``."""
+    return x[rows].mean(axis=0), x[rows].std(axis=0) + 0.05
+
+
+def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, columns: dict[int, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Mean, scale and the weights of each category in turn; earlier ones enter by out-of-fold probabilities.
+
+    ``columns`` has the features to use by fold that is left out, at -1 those of
+    the chain itself; by default all.
+    """
+    everyone = np.ones(len(x), bool)
+    all_ = np.arange(x.shape[1])
+    use = lambda f: all_ if columns is None else columns[f]
+    parts = {}
+    for f in (*np.unique(folds).tolist(), -1):
+        rows = folds != f if f >= 0 else everyone
+        mean, scale = _scaled(x[:, use(f)], rows if rows.any() else everyone)
+        parts[f] = rows, (x[:, use(f)] - mean) / scale, mean, scale
     earlier, out = np.zeros((len(x), 0), np.float32), []
     for c in range(labels.shape[1]):
-        full, y = np.concatenate((x, earlier), axis=1), labels[:, c].astype(np.float32)
-        apart = np.zeros(len(x), np.float32)
-        for f in np.unique(folds):
-            inside = folds == f
-            w = logistic(full[~inside], y[~inside]) if (~inside).any() else np.zeros(full.shape[1] + 1, np.float32)
-            apart[inside] = _sigmoid(full[inside] @ w[:-1] + w[-1])
-        out.append(logistic(full, y))
+        y, apart = labels[:, c].astype(np.float32), np.zeros(len(x), np.float32)
+        for f, (rows, z, _, _) in parts.items():
+            full = np.concatenate((z, earlier), axis=1).astype(np.float32)
+            w = logistic(full[rows], y[rows]) if rows.any() else np.zeros(full.shape[1] + 1, np.float32)
+            if f < 0:
+                out.append(w)
+            else:
+                apart[~rows] = _sigmoid(full[~rows] @ w[:-1] + w[-1])
         earlier = np.concatenate((earlier, apart[:, None]), axis=1)
-    return out
+    return parts[-1][2], parts[-1][3], out
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(doc_id, text, toxic, junk, fold) of about ``rows`` labelled documents."""
+    """(doc_id, text, toxic, junk, fold) of about ``rows`` labelled documents, one row for each doc_id."""
     known = pick(labels, "doc_id", "quality", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id")
     known = known.agg(F.max("toxic").alias("toxic"), F.when(F.min("quality") == 0, 1).otherwise(0).alias("junk"))
     total = max(1, known.count())
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.lit(1_000_003))
     chosen = known.where(draw < min(1_000_003, 1_000_003 * rows // total)).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
-    return pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about ``rows`` rows of three numbers
+    texts = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about ``rows`` rows of three numbers
+    return texts.groupBy("doc_id", "toxic", "junk", "fold").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def _chosen(counted: DataFrame, toxic: list[int], clean: list[int], left_out: int) -> list[str]:
+    """The best features by the rows outside fold ``left_out`` (-1: by all rows); ``counted`` has counts of each fold, a of toxic rows and b of others."""
+    folds = [f for f in range(FOLDS) if f != left_out]
+    n, m = sum(toxic[f] for f in folds), sum(clean[f] for f in folds)
+    a, b = (sum((F.col(c)[f] for f in folds), F.lit(0)) for c in ("a", "b"))
+    rows = counted.select("f", a.alias("x"), b.alias("y")).where(F.col("x") >= LEAST_ROWS)
+    ratio = F.log((F.col("x") + 0.5) / (n + 1)) - F.log((F.col("y") + 0.5) / (m + 1))
+    least = ratio - 2 * F.sqrt(1 / (F.col("x") + 0.5) + 1 / (F.col("y") + 0.5))
+    best = rows.withColumn("least", least).where(F.col("least") >= LEAST_RATIO).orderBy(F.desc("least"), "f").limit(FEATURES)
+    return [r["f"] for r in best.select("f").collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | None:
-    """The chain from labelled rows; None if none of them is toxic or none isn't."""
+    """The chain from labelled rows (doc_id, quality, toxic); None if none of them is toxic or none isn't.
+
+    Of contradicting labels of a doc_id the toxic one and the lower quality count,
+    of several rows of ``docs`` (doc_id, text) with it the text that is first in
+    order.  The driver holds about ``rows`` vectors.
+    """
+    with scratch(docs.sparkSession):
+        return _fit(docs, labels, rows)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, rows: int) -> Model | None:
     small_batches(docs.sparkSession)
     sample = materialize(_sample(docs, labels, rows).repartition(8), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        seen: dict[str, np.ndarray] = {}
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[toxic > 0].update({f for w in set(_WORD.findall((text or "").lower())) for f in word_features(w)})
-        names = list(seen[1])
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][f] for f in names], pa.int64()), pa.array([0] * len(names), pa.int64())], names=["f", "a", "b"])
-        names = list(seen[0])
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([0] * len(names), pa.int64()), pa.array([seen[0][f] for f in names], pa.int64())], names=["f", "a", "b"])
-
-    totals = sample.agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)), F.count("*")).first()
-    toxic, clean = totals[0] or 0, (totals[1] or 0) - (totals[0] or 0)
-    if not toxic or not clean:
+            for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for f in {f for w in set(_WORD.findall((text or "").lower())) for f in word_features(w)}:
+                    if f not in seen:
+                        seen[f] = np.zeros((2, FOLDS), np.int64)
+                    seen[f][int(toxic <= 0), fold] += 1
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([v[k].tolist() for v in seen.values()], kind) for k in (0, 1))], names=["f", "a", "b"])
+
+    sizes = {(r["t"], r["fold"]): r["n"] for r in sample.groupBy((F.col("toxic") > 0).alias("t"), "fold").agg(F.count("*").alias("n")).collect()}
+    toxic, clean = ([sizes.get((t, f), 0) for f in range(FOLDS)] for t in (True, False))
+    if not sum(toxic) or not sum(clean):
         return None
-    df = sample.select("text", F.col("toxic").cast("int")).mapInArrow(count, "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    ratio = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (clean + 1))
-    least = ratio - 2 * F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    best = df.where(F.col("a") >= LEAST_ROWS).withColumn("least", least).where(F.col("least") >= LEAST_RATIO).orderBy(F.desc("least"), "f").limit(FEATURES).collect()
-    words = {r["f"]: i for i, r in enumerate(best)}
+    counted = sample.select("text", F.col("toxic").cast("int"), "fold").mapInArrow(count, "f string, a array<long>, b array<long>")
+    summed = lambda c: F.array(*[F.sum(F.col(c)[f]) for f in range(FOLDS)]).alias(c)
+    counted = materialize(counted.groupBy("f").agg(summed("a"), summed("b")).where(F.aggregate("a", F.lit(0).cast("bigint"), lambda x, y: x + y) >= LEAST_ROWS), "features")
+    chosen = {f: _chosen(counted, toxic, clean, f) for f in range(-1, FOLDS)}
+    words = {w: i for i, w in enumerate(sorted(set().union(*chosen.values())))}
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, ...]] = {}
@@ -172,24 +218,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | Non
     for i, r in enumerate(got):
         n = len(r["v"]) // 8
         x[i, np.frombuffer(r["v"], np.int32, n)] = np.frombuffer(r["v"], np.float32, n, 4 * n)
-    toxic = np.array([r["toxic"] > 0 for r in got])
-    share = x[:, : len(words)].sum(axis=1) / (1 + x[:, len(words)])
-    dense = toxic & (share > np.median(share[toxic]))
-    labels_ = np.stack((np.array([r["junk"] for r in got]) > 0, dense, toxic), axis=1)
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 0.05
-    weights = fit_chain((x - mean) / scale, labels_, np.array([r["fold"] for r in got]))
-    return Model(words, mean, scale, weights)
+    bad, junk = np.array([r["toxic"] > 0 for r in got]), np.array([r["junk"] > 0 for r in got])
+    shape_columns = list(range(len(words), len(words) + SHAPES))
+    columns = {f: np.array([words[w] for w in names] + shape_columns) for f, names in chosen.items()}
+    mean, scale, weights = fit_chain(x, np.stack((junk, bad & junk, bad & ~junk, bad), axis=1), np.array([r["fold"] for r in got]), columns)
+    return Model({w: i for i, w in enumerate(chosen[-1])}, mean, scale, weights)
 
 
 _CACHE: dict[str, dict[str, tuple[int, ...]]] = {}
 
 
 def classify(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
-    """(doc_id, p_junk, p_dense, p_toxic, toxic) for every row of ``docs`` (doc_id, text), from the whole text.
+    """(doc_id, p_junk, p_toxic_junk, p_toxic_text, p_toxic, toxic) for every row of ``docs`` (doc_id, text), from the whole text.
 
-    toxic says whether p_toxic is ``least`` or more.  A null or empty text, and
-    every text if there is no model, has probabilities 0.  Repeated rows give
-    repeated results.
+    toxic says whether p_toxic is ``least`` or more, so a tie with it counts.  A
+    null or empty text, and every text if there is no model, has probabilities 0.
+    Texts of any length are read whole.  Repeated rows give repeated results, an
+    empty table an empty one; further columns of any name are left out.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -209,4 +254,4 @@ def classify(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, c]) for c in range(p.shape[1])), pa.array(p[:, -1] >= least)], names=["doc_id", *(f"p_{c}" for c in CATEGORIES), "toxic"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, p_junk double, p_dense double, p_toxic double, toxic boolean")
+    return pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'p_{c} double' for c in CATEGORIES)}, toxic boolean")
