@@ -77,12 +77,10 @@ def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, p
         table = F.broadcast(table)
     name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
 
-    def one(sum_: Column, chunk: Column) -> Column:
-        u = (_hash(13, F.lit(f"{seed}:poisson"), name, chunk.cast("string")) + F.lit(0.5)) / F.lit(float(2**52))
-        return sum_ + F.size(F.filter(F.col("__cdf"), lambda c: c < u))
-
-    drawn = F.aggregate(F.sequence(F.lit(0), F.col("__chunks") - 1), F.lit(0), one)
-    mixed = docs.join(table, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__count", drawn).where("__count > 0")
+    # numbers first: inside the filter they would be worked out for each entry of the table
+    numbers = F.transform(F.sequence(F.lit(0), F.col("__chunks") - 1), lambda j: (_hash(13, F.lit(f"{seed}:poisson"), F.col("__name"), j.cast("string")) + F.lit(0.5)) / F.lit(float(2**52)))
+    drawn = F.aggregate(numbers, F.lit(0), lambda sum_, u: sum_ + F.size(F.filter(F.col("__cdf"), lambda c: c < u)))
+    mixed = docs.withColumn("__name", name).join(table, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__count", drawn).where("__count > 0")
     copies = mixed.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__count")))).drop("__source", "__chunks", "__cdf", "__count")
-    keyed = copies.withColumn("shuffle_key", _hash(15, F.lit(f"{seed}:shuffle"), name, F.col("copy_no").cast("string")))
+    keyed = copies.withColumn("shuffle_key", _hash(15, F.lit(f"{seed}:shuffle"), F.col("__name"), F.col("copy_no").cast("string"))).drop("__name")
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy_no")
