@@ -36,8 +36,12 @@ _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u
 _TOKEN = re.compile(rf"[{_UNSPACED}]|(?:(?![{_UNSPACED}])\w)+")
 
 
+_WORD, _LETTER = re.compile(r"\w+"), re.compile(f"[{_UNSPACED}]")
+
+
 def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+    low = text.lower()
+    return (_WORD if low.isascii() or not _LETTER.search(low) else _TOKEN).findall(low)
 
 
 class _Hashes:
@@ -155,9 +159,10 @@ class Seeds:
                 continue
             hashes = hashes or _Hashes(doc)
             mine = hashes.at(starts, n)
-            hits = np.isin(known, mine)
-            if not hits.any():
+            found = known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine
+            if not found.any():
                 continue
+            hits = np.isin(known, mine[found])
             owner, place = owners[hits], places[hits]
             order = np.argsort(owner, kind="stable")
             bounds = np.flatnonzero(np.diff(owner[order], prepend=-1, append=-1))
