@@ -70,6 +70,18 @@ SPACED_DOCS = """
 """
 
 
+def loose_pages(docs: DataFrame) -> DataFrame:
+    """(url, html): pages without headings, with a table of links, a table of content that is empty in some, a text and a few words beside it."""
+    plain = lambda c: F.replace(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    number, source = F.col("doc_id").cast("string"), F.coalesce("source", F.lit("x"))
+    cell = F.when(F.col("doc_id") % 3 == 0, F.lit("")).when(F.col("doc_id") % 3 == 1, plain("lang")).otherwise(plain("text"))
+    html = F.concat(
+        F.lit("<html><head><title>Page "), number, F.lit('</title></head><body><div class="page content"><table><tr><td><a href="/'), source, F.lit('">'), source, F.lit('</a><a href="/empty"> </a></td></tr></table><table><tr><td>'),
+        cell, F.lit("</td></tr></table><p>"), plain("text"), F.lit("</p><span>few words</span></div></body></html>"),
+    )
+    return docs.select(F.concat(F.lit("loose/"), number).alias("url"), html.alias("html"))
+
+
 def page_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, page, text): documents cut into pages."""
     last = F.greatest(F.ceil(F.length("text") / PAGE_CHARS), F.lit(1)) - 1

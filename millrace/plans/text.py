@@ -160,10 +160,11 @@ g AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY path OR
 sec AS (SELECT path, CAST(min(pos) AS INTEGER) AS start_line, CAST(coalesce(max(length(s) - length(regexp_replace(s, '^#+', ''))) FILTER (head), 0) AS INTEGER) AS level,
         coalesce(max({_S("regexp_replace(s, '^#+', '')")}) FILTER (head), '') AS heading, {_S("coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT head), '')")} AS body
         FROM g GROUP BY path, sec)"""
-_IMAGE = r"""'!\[([^\]]*)\]\(([^\)\s]+)(?:\s+"([^"]+)")?\)'"""
+IMAGE = r"""'!\[([^\]]*)\]\(([^\)\s]+)(?:\s+"([^"]+)")?\)'"""
 _LINK = r"'\[([^\]]+)\]\(([^\)]+)\)'"
 _PIECES = f"p AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[.!?]\\s+'), lambda x: {_S('x')}), lambda x: x <> '') AS s FROM documents)"
 _TITLE = f"coalesce({_S('''substr(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: starts_with(x, '# '))[1], 3)''')}, 'Document technique')"
+SECTION_CHUNKS = f"{_SECTIONS}, t AS (SELECT path, {_TITLE} AS title FROM md), k AS (SELECT *, CASE WHEN heading <> '' THEN concat(heading, chr(10), chr(10), body) ELSE body END AS content FROM sec JOIN t USING (path))"
 _PARAGRAPHS = f"""d AS ({SPACED_DOCS}), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
 f AS (SELECT doc_id, {_S('x')} AS x, i FROM l WHERE {_S('x')} <> ''), n AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 2 THEN 1 ELSE 0 END AS new FROM f),
 g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM n), p AS (SELECT doc_id, k, string_agg(x, chr(10) ORDER BY i) AS t FROM g GROUP BY doc_id, k)"""
@@ -200,7 +201,7 @@ QUERIES = {
     ),
     "enriched_content": (
         enriched_content,
-        f"{_MD}, d AS (SELECT doc_id, text, list_transform(regexp_extract_all(text, {_IMAGE}, 1), lambda x: CASE WHEN length(x) > 3 THEN x ELSE '' END) AS d FROM md), "
+        f"{_MD}, d AS (SELECT doc_id, text, list_transform(regexp_extract_all(text, {IMAGE}, 1), lambda x: CASE WHEN length(x) > 3 THEN x ELSE '' END) AS d FROM md), "
         "e AS (SELECT doc_id, d, CASE WHEN len(list_filter(d, lambda x: x <> '')) > 0 THEN concat(text, chr(10), chr(10), 'Images: ', array_to_string(list_filter(d, lambda x: x <> ''), ' | ')) ELSE text END AS c FROM d) "
         "SELECT doc_id, CAST(len(d) AS INTEGER) AS n_images, CAST(length(c) AS INTEGER) AS n_chars, md5(c) AS content_md5 FROM e",
     ),
@@ -238,9 +239,9 @@ QUERIES = {
     "markdown_sections": (markdown_sections, f"{_SECTIONS} SELECT path, start_line, level, heading, CAST(length(body) AS INTEGER) AS body_length, md5(body) AS body_md5 FROM sec"),
     "markdown_chunks": (
         markdown_chunks,
-        f"{_SECTIONS}, t AS (SELECT path, {_TITLE} AS title FROM md), k AS (SELECT *, CASE WHEN heading <> '' THEN concat(heading, chr(10), chr(10), body) ELSE body END AS content FROM sec JOIN t USING (path)) "
+        f"{SECTION_CHUNKS} "
         "SELECT md5(concat(path, '_', start_line, '_', heading)) AS chunk_id, path AS source_file, title, CASE WHEN heading = '' THEN 'Contenu principal' ELSE heading END AS heading, CAST(length(content) AS INTEGER) AS content_length, md5(content) AS content_md5, "
-        f"CAST(len(regexp_extract_all(body, {_IMAGE})) AS INTEGER) AS n_images, CAST(len(list_filter(regexp_extract_all(body, {_LINK}, 2), lambda x: NOT starts_with(x, '#'))) AS INTEGER) AS n_links FROM k WHERE length({_S('content')}) >= 50",
+        f"CAST(len(regexp_extract_all(body, {IMAGE})) AS INTEGER) AS n_images, CAST(len(list_filter(regexp_extract_all(body, {_LINK}, 2), lambda x: NOT starts_with(x, '#'))) AS INTEGER) AS n_links FROM k WHERE length({_S('content')}) >= 50",
     ),
     "markdown_links": (
         markdown_links,
@@ -248,11 +249,11 @@ QUERIES = {
     ),
     "markdown_images": (
         markdown_images,
-        f"{_MD}, l AS (SELECT doc_id, regexp_extract_all(text, {_IMAGE}, 2) AS a, regexp_extract_all(text, {_IMAGE}, 1) AS b, regexp_extract_all(text, {_IMAGE}, 3) AS c FROM md) SELECT doc_id, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS pos, unnest(a) AS src, unnest(b) AS alt, coalesce(unnest(c), '') AS title FROM l",
+        f"{_MD}, l AS (SELECT doc_id, regexp_extract_all(text, {IMAGE}, 2) AS a, regexp_extract_all(text, {IMAGE}, 1) AS b, regexp_extract_all(text, {IMAGE}, 3) AS c FROM md) SELECT doc_id, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS pos, unnest(a) AS src, unnest(b) AS alt, coalesce(unnest(c), '') AS title FROM l",
     ),
     "image_resolution": (
         image_resolution,
-        f"""{_MD}, l AS (SELECT path, regexp_extract_all(text, {_IMAGE}, 2) AS a, regexp_extract_all(text, {_IMAGE}, 1) AS b, regexp_extract_all(text, {_IMAGE}, 3) AS c FROM md),
+        f"""{_MD}, l AS (SELECT path, regexp_extract_all(text, {IMAGE}, 2) AS a, regexp_extract_all(text, {IMAGE}, 1) AS b, regexp_extract_all(text, {IMAGE}, 3) AS c FROM md),
         r AS (SELECT path AS source_file, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS pos, unnest(a) AS src, unnest(b) AS alt, unnest(c) AS title FROM l),
         k AS (SELECT *, CAST('0x' || substr(md5(src), 1, 1) AS BIGINT) % 3 AS kind, regexp_extract(src, '[^/]*$') AS name, regexp_matches(src, '^https?://') AS outside FROM r),
         f AS (SELECT DISTINCT kind, src FROM k WHERE NOT contains(src, '/') AND kind < 2),

