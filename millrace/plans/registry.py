@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import answers, index, text, values, vectors, web
+from millrace.plans import answers, index, runs, text, values, vectors, web
 
-_ALL = vectors.QUERIES | text.QUERIES | web.QUERIES | index.QUERIES | answers.QUERIES | values.QUERIES
+_ALL = vectors.QUERIES | text.QUERIES | web.QUERIES | index.QUERIES | answers.QUERIES | values.QUERIES | runs.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
