@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace import api
-from millrace.config import Answers, Index, described, download_instructions
+from millrace.config import Answers, Index, described, download_instructions, missing_parts
 from millrace.functions import urls
 from millrace.operators import export, frontier, html_sections, images, saved
 from millrace.plans import answers, web
 from millrace.plans import text as texts
 from millrace.plans.fixtures import STRIP, table
 from millrace.providers import ContextCaptioner, HashingEmbedder, embed, first_available
-from millrace.sources import files
+from millrace.sources import files, state
 from millrace.sources.work import drop_path, fresh_path, written
 from millrace.streaming import answers as streamed
 from millrace.streaming import pages as arriving
@@ -80,7 +80,16 @@ def export_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     export.write(table(spark, sf_dir, "embeddings").select(F.md5(_number("vec_id")).alias("chunk_id"), "embedding"), path, "synthetic", "2024-01-01T00:00:00", per_range=RANGE_ROWS)
     vectors, about = export.load(spark, path)
     total = F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 5)
-    return vectors.select("vec_id", "chunk_id", total.alias("total"), *[F.lit(about[c]).alias(c) for c in ("total_vectors", "vector_dimension", "embedding_model", "completion_timestamp")])
+    return vectors.select("vec_id", "chunk_id", total.alias("total"), *[F.lit(about[c]).cast(t).alias(c) for c, t in (("total_vectors", "bigint"), ("vector_dimension", "bigint"), ("embedding_model", "string"), ("completion_timestamp", "string"))])
+
+
+def found_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of three folders hold an index, and what each of these lacks before it can be asked."""
+    where, vectors = fresh_path(spark, "indexes"), table(spark, sf_dir, "embeddings")
+    for part in ("whole/vectors", "whole/manifest", "half/vectors", "other/manifest"):
+        written(vectors, f"{where}/{part}")
+    found = state.find_indexes(spark, where)
+    return spark.createDataFrame([(p.rpartition("/")[2], ",".join(missing_parts(set(state.children(spark, p)))), spark.read.parquet(f"{p}/vectors").count()) for p in found], "name string, missing string, n_vectors long")
 
 
 def crawled_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,6 +261,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         """SELECT row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR))) - 1 AS vec_id, md5(CAST(vec_id AS VARCHAR)) AS chunk_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total,
         count(*) OVER () AS total_vectors, CAST(max(len(embedding)) OVER () AS BIGINT) AS vector_dimension, 'synthetic' AS embedding_model, '2024-01-01T00:00:00' AS completion_timestamp FROM embeddings""",
     ),
+    "found_indexes": (found_indexes, "SELECT name, missing, (SELECT count(*) FROM embeddings) AS n_vectors FROM (VALUES ('half', 'manifest'), ('whole', '')) AS v(name, missing)"),
     "crawled_snapshot": (
         crawled_snapshot,
         f"""WITH RECURSIVE r(id) AS (SELECT CAST(0 AS BIGINT) UNION SELECT unnest([doc_id * 2 + 1, doc_id * 2 + 2]) FROM r JOIN documents ON doc_id = id), d AS (SELECT DISTINCT doc_id FROM documents)
