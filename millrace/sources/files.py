@@ -14,6 +14,7 @@ from millrace.operators import chunking, html_sections, images, markdown
 from millrace.operators.pages import whole_text
 from millrace.providers import Captioner
 from millrace.schemas import CHUNK, ERROR, FILE_SCAN
+from millrace.sources.pdf import page_texts as read_pdf
 
 HTML, MARKDOWN, PDF = (".html", ".htm"), (".md", ".markdown"), (".pdf",)
 IMAGES = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".webp", ".svg")
@@ -83,8 +84,9 @@ def read_chunks(
 ) -> tuple[DataFrame, DataFrame]:
     """(chunks, errors) of a scan.
 
-    PDF files need a reader of their own: their text comes as ``page_texts``
-    (path, page, text); PDF files without it, and unknown formats, are errors.
+    The text of a PDF file comes from ``page_texts`` (path, page, text) or, where
+    that has none, from the file itself; files that :mod:`millrace.sources.pdf`
+    can't read, and unknown formats, are errors.
     """
     sizes = sizes or chunking.ChunkSizes(semantic=embed is not None)
     kinds = files.withColumn("__kind", file_format(F.col("ext")))
@@ -96,11 +98,12 @@ def read_chunks(
     bad = errors.rows(pages.where("error is not null"), "parsing_error", "source_file", "HTML", F.col("error"))
     notes = _with_images(markdown.chunks(kinds.where("__kind = 'markdown'").select("path", text.alias("text"))), image_files, captioner, False)
     out = _as_chunks(html).unionByName(_as_chunks(notes))
-    pdf = kinds.where("__kind = 'pdf'").select("path")
+    pdf = kinds.where("__kind = 'pdf'").select("path", "content")
+    given = pdf if page_texts is None else pdf.join(page_texts.select("path").distinct(), "path", "left_anti")
+    found = read_pdf(given)
+    texts = found.where("error is null").select("path", "page", "text")
     if page_texts is not None:
-        texts = whole_text(page_texts.join(pdf, "path", "left_semi"), "path")
-        cut = chunking.document_chunks(texts, embed, sizes)
-        out = out.unionByName(_as_chunks(pdf_rows(cut)))
-        pdf = pdf.join(page_texts.select("path").distinct(), "path", "left_anti")
-    lost = errors.rows(pdf, "parsing_error", "path", "no page texts for this PDF").unionByName(errors.rows(kinds.where("__kind = 'unsupported'"), "parsing_error", "path", F.concat(F.lit("unsupported format: "), F.col("ext"))))
+        texts = texts.unionByName(page_texts.join(pdf.select("path"), "path", "left_semi").select("path", F.col("page").cast("int").alias("page"), "text"))
+    out = out.unionByName(_as_chunks(pdf_rows(chunking.document_chunks(whole_text(texts, "path"), embed, sizes))))
+    lost = errors.rows(found.where("error is not null"), "parsing_error", "path", "no page texts for this PDF", F.col("error")).unionByName(errors.rows(kinds.where("__kind = 'unsupported'"), "parsing_error", "path", F.concat(F.lit("unsupported format: "), F.col("ext"))))
     return out, bad.unionByName(lost).to(ERROR)
