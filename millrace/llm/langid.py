@@ -10,6 +10,8 @@ whose prototype has the largest cosine with it.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,18 +20,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import pick, small_batches
+from millrace.llm.shared import materialize, pick, scratch, small_batches
 
 DIMENSIONS = 1024
 SEED = 20_240_601
 CODES = 128
 UNKNOWN = "und"
-#: Labelled texts of each language that the fit reads, about; chosen by a hash of doc_id.
-FIT_ROWS = 1_500
+#: Labelled texts of each language that fit and limits read at most: no limit, all of them count.
+FIT_ROWS = math.inf
+#: Unit vectors are summed as whole multiples of this, so that sums don't depend on how rows lie in tasks.
+GRAIN = 2.0**-30
 #: Labels beyond this number can't be languages; the fit refuses them.
 MOST_LANGUAGES = 2_000
 #: The limit of the best cosine is this quantile of held-out labelled texts, times the slack; that of another language's lead is this quantile of the leads of texts in their own.
 LOW, SLACK, LEAD = 0.01, 0.7, 0.1
+#: Cells of a unit of cosine, in which values are counted before the one sought is looked up.
+CELLS = 2_048
 #: Trigram vectors that a worker keeps.
 CACHE_ROWS = 32_768
 
@@ -105,37 +111,43 @@ def remainder(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4, F.lit(0))
 
 
-def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """(languages, prototypes) from the rows of ``docs`` (doc_id, text, lang) with a lang that aren't held out.
+def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """(languages, prototypes) from all rows of ``docs`` (doc_id, text, lang) with a lang that aren't held out.
 
-    Reads about ``fit_rows`` texts of each language, all if there are fewer;
-    which ones depends on doc_id alone.  Without labelled rows there is no
-    language and every text is ``und``.
+    Each task sums its own texts; what meets in the shuffle is one vector for each
+    language and task, and what comes to the driver one for each language.
+    Without labelled rows there is no language and every text is ``und``.
     """
     small_batches(docs.sparkSession)
     rows = pick(docs, "doc_id", "text", "lang").where((remainder() != 2) & F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
-        return [], np.zeros((0, DIMENSIONS), np.float32)
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, fit_rows / r["count"])))])
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")), F.lit(1_000_003)) / 1_000_003
-    chosen = rows.where(draw < share[F.col("lang")]).select("lang", "text").repartition(max(8, len(counts)), "lang", F.xxhash64("text") % 4)
+
+    def sent(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"lang": k, "v": v.tolist()} for k, v in sums.items()], schema=pa.schema([("lang", pa.string()), ("v", pa.list_(pa.int64()))]))
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if text and (v := _bundler().bundle(text)) is not None:
-                    sums[lang] = sums.get(lang, 0) + v / (np.linalg.norm(v) or 1)
-        yield pa.RecordBatch.from_pylist([{"lang": k, "v": v.tolist()} for k, v in sums.items()], schema=pa.schema([("lang", pa.string()), ("v", pa.list_(pa.float64()))]))
-
-    parts: dict[str, np.ndarray] = {}
-    for lang, v in sorted((r["lang"], r["v"]) for r in chosen.mapInArrow(bundle, "lang string, v array<double>").collect()):
-        parts[lang] = parts.get(lang, 0) + np.array(v)
-    names = sorted(parts)
-    units = np.array([parts[n] / (np.linalg.norm(parts[n]) or 1) for n in names]).reshape(-1, DIMENSIONS)
+                    unit = v.astype(np.float64) / (np.linalg.norm(v.astype(np.float64)) or 1)
+                    sums.setdefault(lang, np.zeros(DIMENSIONS, np.int64))
+                    sums[lang] += np.rint(unit / GRAIN).astype(np.int64)
+        yield sent(sums)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, v in zip(batch.column(0).to_pylist(), batch.column(1).flatten().to_numpy().reshape(-1, DIMENSIONS), strict=True):
+                sums[lang] = sums.get(lang, 0) + v
+        yield sent(sums)
+
+    kind = "lang string, v array<long>"
+    found = rows.select("lang", "text").mapInArrow(bundle, kind).repartition("lang").mapInArrow(total, kind).collect()
+    sums = {r["lang"]: np.array(r["v"]) * GRAIN for r in found}
+    names = sorted(sums)
+    units = np.array([sums[n] / (np.linalg.norm(sums[n]) or 1) for n in names]).reshape(-1, DIMENSIONS)
     if len(names) > 1:
         units = units - units.mean(axis=0)
     lengths = np.linalg.norm(units, axis=1, keepdims=True)
@@ -185,26 +197,54 @@ def _cosines(text: str | None, prototypes: np.ndarray) -> tuple[int, np.ndarray
 CLASSES = 33
 
 
-def limits(docs: DataFrame, model: tuple[list[str], np.ndarray], fit_rows: int = FIT_ROWS) -> np.ndarray:
+def _quantiles(rows: DataFrame, share: float) -> dict[int, float]:
+    """Of all values of ``rows`` (kind, v) in a length class and its neighbours, the one at place ``int(share * n)``.
+
+    Exact: values are counted by cell, and the distinct ones of the cell sought
+    are counted once more.  The driver gets counts, not rows.
+    """
+    rows = rows.withColumn("cell", F.floor(F.col("v") * CELLS).cast("int"))
+    counts = {(r["kind"], r["cell"]): r["count"] for r in rows.groupBy("kind", "cell").count().collect()}
+    wanted = {}
+    for kind in range(CLASSES):
+        near = Counter()
+        for (k, cell), n in counts.items():
+            if abs(k - kind) <= 1:
+                near[cell] += n
+        place = int(share * near.total())
+        for cell in sorted(near):
+            if place < near[cell]:
+                wanted[kind] = cell, place
+                break
+            place -= near[cell]
+    key = lambda k, cell: k * 1_000_000 + cell
+    cells = {key(k, cell) for kind, (cell, _) in wanted.items() for k in (kind - 1, kind, kind + 1)}
+    values = rows.where(key(F.col("kind"), F.col("cell")).isin(*cells)).groupBy("kind", "cell", "v").count().collect() if cells else []
+    out = {}
+    for kind, (cell, place) in wanted.items():
+        for v, n in sorted((r["v"], r["count"]) for r in values if r["cell"] == cell and abs(r["kind"] - kind) <= 1):
+            if place < n:
+                out[kind] = v
+                break
+            place -= n
+    return out
+
+
+def limits(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> np.ndarray:
     """Two rows, by length class: the least best cosine that a text may have, and the lead from which on another language than its own has it.
 
-    Measured on held-out labelled texts, which the model hasn't seen: about
-    ``fit_rows`` of each language, chosen by a hash of doc_id.  A class takes its
-    quantiles with its neighbours (of few texts, the least value), or, where they
-    have no text, from the next shorter class that has some.  Neither limit moves
-    much for a hundredth of wrong labels.
+    Measured on all held-out labelled texts, which the model hasn't seen.  A class
+    takes its quantiles with its neighbours (of few texts, the least value), or,
+    where they have no text, from the next shorter class that has some.  Neither
+    limit moves much for a hundredth of wrong labels.
     """
     names, prototypes = model
     out = np.stack((np.full(CLASSES, -np.inf), np.full(CLASSES, np.inf)))
     if not names:
         return out
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = pick(docs, "doc_id", "text", "lang").where((remainder() == 2) & F.col("lang").isin(names))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return out
-    portion = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, fit_rows / n)))])
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("limits")), F.lit(1_000_003)) / 1_000_003
     at = {n: i for i, n in enumerate(names)}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,17 +257,17 @@ def limits(docs: DataFrame, model: tuple[list[str], np.ndarray], fit_rows: int =
                     rows.append((kind, float(c.max()), float(c[at[lang]] - (others.max() if len(others) else 0))))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate((pa.int32(), pa.float64(), pa.float64()))], names=["kind", "best", "lead"])
 
-    got = rows.where(draw < portion[F.col("lang")]).select("text", "lang").mapInArrow(measure, "kind int, best double, lead double").toArrow()
-    kinds, values = np.array(got["kind"]), (np.array(got["best"]), np.array(got["lead"]))
+    with scratch(spark):
+        measured = materialize(rows.select("text", "lang").mapInArrow(measure, "kind int, best double, lead double"), "limits")
+        least = _quantiles(measured.select("kind", F.col("best").alias("v")), LOW)
+        leads = _quantiles(measured.where("lead > 0").select("kind", F.col("lead").alias("v")), LEAD)
     for kind in range(CLASSES):
-        near = abs(kinds - kind) <= 1
-        best, lead = np.sort(values[0][near]), np.sort(values[1][near & (values[1] > 0)])
-        if len(best):
-            out[0, kind] = SLACK * best[int(LOW * len(best))]
+        if kind in least:
+            out[0, kind] = SLACK * least[kind]
         elif kind:
             out[0, kind] = out[0, kind - 1]
-        if len(lead):
-            out[1, kind] = lead[int(LEAD * len(lead))]
+        if kind in leads:
+            out[1, kind] = leads[kind]
         elif kind:
             out[1, kind] = out[1, kind - 1]
     return out

@@ -136,3 +136,28 @@ def test_predictions_are_brute_force(spark, docs):
     want = slow_prediction(rows, lambda d: zlib.crc32(str(d).encode()) % 4 == 2)
     assert {d: p for d, (p, _) in got.items()} == {d: p for d, (p, _) in want.items()}
     assert all(got[d][1] == pytest.approx(want[d][1], abs=1e-4) for d in got)
+
+
+def test_fit_and_limits_read_every_labelled_text(spark):
+    r = random.Random(5)
+    words = {"en": "the and of with from that have this".split(), "de": "der und von mit aus dass haben diese".split()}
+    rows = [(i, " ".join(r.choices(words[lang], k=r.choice((1, 2, 3, 9)))), lang) for i in range(13_600) for lang in [r.choice(("en", "de"))]]
+    held = {d for d, _, _ in rows if zlib.crc32(str(d).encode()) % 4 == 2}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    names, prototypes = L.fit(df)
+    bundles = {t: slow_bundle(t) for t in {t for _, t, _ in rows}}
+    want_names, want = slow_prototypes([(bundles[t], lang) for d, t, lang in rows if d not in held])
+    assert names == want_names and np.allclose(prototypes, want, atol=1e-6)
+    assert (L.fit(df.repartition(3))[1] == prototypes).all()  # not even the last bit depends on where rows lie
+    seen = []
+    for d, t, lang in rows:
+        if d in held:
+            kind, c = L._cosines(t, prototypes)
+            mine = names.index(lang)
+            seen.append((kind, float(c.max()), float(c[mine] - c[1 - mine])))
+    assert min(Counter(lang for d, _, lang in rows if d in held).values()) > 1_500
+    least, lead = L.limits(df, (names, prototypes))
+    for kind in {k for k, _, _ in seen}:
+        near = [s for s in seen if abs(s[0] - kind) <= 1]
+        best, own = sorted(s[1] for s in near), sorted(s[2] for s in near if s[2] > 0)
+        assert least[kind] == L.SLACK * best[int(L.LOW * len(best))] and lead[kind] == own[int(L.LEAD * len(own))]
