@@ -1,67 +1,86 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney character model.
 
-The model has order four over 64 character classes, so it has at most 64^4
-entries whatever it is trained on.  Counts come from all trusted texts: each
-task sums its own, the sums are combined by n-gram, and the statistics of
-contexts and shorter n-grams are joined to them by hash of context and suffix.
-Each text is scored whole; a text is kept if its perplexity is no more than a
-quantile of trusted texts of its language that the model hasn't seen: half of
-them train it, and the other half gives the quantiles.
+The model has order four over code points as they are: no two characters share
+a symbol, so it grows with what it is trained on, and it stays in tables.  Counts
+come from all trusted texts: each task sums its own, the sums are combined by
+n-gram.  Texts are dealt into blocks; the different four-grams of each block are
+joined to the counts of n-grams and contexts of all orders, and the answers meet
+the block's texts, which are packed for the way, so that each text is scored
+whole.  A text is kept if its perplexity is no more than a quantile of trusted
+texts of its language that the model hasn't seen: half of them train it, and the
+other half gives the quantiles.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-from functools import lru_cache
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import materialize, pick, scratch, settled, small_batches
 
 ORDER = 4
-CODES = 64
+#: Symbols: each code point plus one; 0 pads and ends a text.  Three of them fit into 63 bits.
+CODES = 0x110001
 QUANTILE = 0.995
 #: Trusted ids that may be broadcast, of eight bytes each.
 BROADCAST_IDS = 2_000_000
 #: N-grams that a task holds before it passes its counts on.
-FLUSH = 1 << 22
-
-
-@lru_cache(1)
-def _classes() -> np.ndarray:
-    """Class of each code point: 0 only pads; case, digits and symbols are told apart, rare symbols share classes."""
-    table = np.full(0x110000, 63, np.uint8)
-    for cp in range(0x110000):
-        c = chr(cp)
-        if c.isalpha():
-            table[cp] = 46 + cp % 16 if c == c.lower() else 62
-        elif c.isspace():
-            table[cp] = 2
-        elif c.isdigit():
-            table[cp] = 30
-    for cp in range(33, 127):
-        if not chr(cp).isalnum():
-            table[cp] = 38 + cp % 8
-    table[ord("a") : ord("z") + 1] = np.arange(3, 29)
-    table[ord("A") : ord("Z") + 1] = 29
-    for chars, code in ((" ", 1), (".", 31), (",", 32), ("'\"", 33), ("-", 34), (";:", 35), ("!?", 36), ("|", 37)):
-        table[[ord(c) for c in chars]] = code
-    return table
-
-
-def grams(text: str) -> np.ndarray:
-    """Ids of the four-grams of a text, padded before, with one pad as its end."""
-    codes = _classes()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)].astype(np.int32)
-    codes = np.pad(codes, (ORDER - 1, 1))
-    out = codes[: len(codes) - ORDER + 1].copy()
+FLUSH = 1 << 21
+#: Bytes of text from which on a block is full; a block asks once for each of its four-grams, so larger ones ask less.
+BLOCK = 1 << 24
+
+
+def _windows(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The four symbols of each four-gram of the texts, padded before, with one pad as their end, and the number of four-grams of each text."""
+    parts = [np.frombuffer(t.encode("utf-32-le", "replace"), np.int32) for t in texts]
+    sizes = np.array([len(x) + 1 for x in parts], np.int64)
+    pad = np.zeros(ORDER - 1, np.int32)
+    codes = np.concatenate([y for x in parts for y in (pad, x + 1, pad[:1])] + [pad[:0]])
+    inside = np.ones(len(codes), bool)  # the last three symbols of a text start no four-gram
+    ends = np.cumsum(sizes + ORDER - 1)
     for j in range(1, ORDER):
-        out *= CODES
-        out += codes[j : len(codes) - ORDER + 1 + j]
-    return out
+        inside[ends - j] = False
+    starts = np.flatnonzero(inside)
+    return [codes[starts + j] for j in range(ORDER)], sizes
+
+
+def _context(symbols: list[np.ndarray]) -> np.ndarray:
+    a, b, c = (x.astype(np.int64) for x in symbols[:3])
+    return (a * CODES + b) * CODES + c
+
+
+def _coder(symbols: list[np.ndarray]) -> Callable[[list[np.ndarray]], np.ndarray]:
+    """What makes one sortable key of each four-gram of these symbols."""
+    there = np.zeros(CODES, bool)
+    for x in symbols:
+        there[x] = True
+    alphabet = np.flatnonzero(there)
+    n = len(alphabet)
+    if n**ORDER >= 1 << 63:
+        return lambda four: np.stack(four, axis=1).astype(">i4").view(f"S{4 * ORDER}")[:, 0]
+    place = np.zeros(CODES, np.int64)
+    place[alphabet] = np.arange(n)
+    return lambda four: ((place[four[0]] * n + place[four[1]]) * n + place[four[2]]) * n + place[four[3]]
+
+
+def _distinct(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, symbol, count) of the different four-grams of the texts."""
+    four, _ = _windows(texts)
+    _, first, c = np.unique(_coder(four)(four), return_index=True, return_counts=True)
+    four = [x[first] for x in four]
+    return _context(four), four[3], c
+
+
+def grams(text: str) -> list[int]:
+    """Ids of the four-grams of a text: its symbols as digits to the base of ``CODES``."""
+    four, _ = _windows([text])
+    return [int(context) * CODES + int(symbol) for context, symbol in zip(_context(four), four[3], strict=True)]
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -70,35 +89,33 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def counts(texts: DataFrame) -> DataFrame:
-    """(gram: int, c: long) over all rows of ``texts`` (text)."""
+    """(gram: its context and symbol, c: long) over all rows of ``texts`` (text)."""
     small_batches(texts.sparkSession)
+    names = ["context", "symbol", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        held, size = [], 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            ids, where = np.unique(np.concatenate(held[0]), return_inverse=True)
-            return ids, np.bincount(where, np.concatenate(held[1]), len(ids)).astype(np.int64)
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by(names[:2], use_threads=False).aggregate([("c", "sum")]).select(["context", "symbol", "c_sum"]).rename_columns(names)
 
-        size = 0
         for batch in batches:
-            parts = [grams(x) for x in batch.column(0).to_pylist() if x]
-            if not parts:
+            part = [x for x in batch.column(0).to_pylist() if x]
+            if not part:
                 continue
-            ids, c = np.unique(np.concatenate(parts), return_counts=True)
-            held[0].append(ids)
-            held[1].append(c)
-            size += len(ids)
+            held.append(pa.Table.from_arrays([pa.array(x) for x in _distinct(part)], names=names))
+            size += len(held[-1])
             if size > FLUSH:
-                ids, c = merged()
-                if len(ids) > FLUSH // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(c)], names=["gram", "c"])
-                    ids, c = ids[:0], c[:0]
-                held, size = ([ids], [c]), len(ids)
-        ids, c = merged()
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(c)], names=["gram", "c"])
+                held = [summed()]
+                if len(held[0]) > FLUSH // 2:
+                    yield from held[0].to_batches()
+                    held = []
+                size = sum(map(len, held))
+        if held:
+            yield from summed().to_batches()
 
-    return texts.select("text").mapInArrow(run, "gram int, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    got = texts.select("text").mapInArrow(run, "context long, symbol int, c long").groupBy("context", "symbol").agg(F.sum("c").alias("c"))
+    return got.select(F.struct("context", "symbol").alias("gram"), "c")
 
 
 def _discounts(table: DataFrame) -> list[float]:
@@ -114,76 +131,152 @@ def _discount(d: list[float], c: str = "c") -> Column:
     return F.when(F.col(c) == 1, d[0]).when(F.col(c) == 2, d[1]).otherwise(d[2])
 
 
-def fit(texts: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order: ids and probabilities of seen n-grams, ids and backoff weights of seen contexts.
-
-    At most 64^order entries each, so it is collected.
-    """
-    with scratch(texts.sparkSession):
-        return _fit(texts)
+#: For each order: counts of n-grams (context, symbol, c), sums of contexts (context, total, held) and discounts.
+Model = list[tuple[DataFrame, DataFrame, list[float]]]
 
 
-def _fit(texts: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    table = materialize(counts(texts), "grams")
-    orders = [table]
+def fit(texts: DataFrame) -> Model:
+    """The model of all rows of ``texts`` (text).  Its tables stay where they were written; the driver only gets the discounts."""
+    orders = [materialize(counts(texts).select("gram.*", "c"), "grams")]
     for k in range(ORDER - 1, 0, -1):  # how many different symbols stand before
-        table = materialize(table.groupBy((F.col("gram") % CODES**k).alias("gram")).agg(F.count("*").alias("c")), "grams")
-        orders.insert(0, table)
-    lower, out = None, []
-    for k, table in enumerate(orders, 1):
-        d = _discounts(table)
-        context = F.floor(F.col("gram") / CODES).cast("int")
-        seen = table.withColumn("context", context)
+        shorter = orders[0].groupBy((F.col("context") % CODES ** (k - 1)).alias("context"), "symbol").agg(F.count("*").alias("c"))
+        orders.insert(0, materialize(shorter, "grams"))
+    out = []
+    for seen in orders:
+        d = _discounts(seen)
         totals = seen.groupBy("context").agg(F.sum("c").alias("total"), F.sum(_discount(d)).alias("held"))
-        parts = seen.join(totals, "context").withColumn("suffix", (F.col("gram") % CODES ** (k - 1)).cast("int"))
-        if lower is None:
+        out.append((seen, materialize(totals, "contexts"), d))
+    return out
+
+
+def probabilities(asked: DataFrame, model: Model) -> DataFrame:
+    """(context, symbol, p) for the different four-grams ``asked`` (context, symbol): a join by n-gram, context and suffix for each order."""
+    levels = [materialize(asked.select("context", "symbol").distinct(), "asked")]
+    for k in range(ORDER - 1, 0, -1):
+        shorter = levels[0].select((F.col("context") % CODES ** (k - 1)).alias("context"), "symbol").distinct()
+        levels.insert(0, materialize(shorter, "asked"))
+    below = None
+    for k, (level, (seen, totals, d)) in enumerate(zip(levels, model, strict=True), 1):
+        parts = level.join(seen, ["context", "symbol"], "left").join(totals, "context", "left")
+        if below is None:
             parts = parts.withColumn("below", F.lit(1 / CODES))
         else:
-            parts = parts.join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
-        p = (F.col("c") - _discount(d)) / F.col("total") + F.col("held") / F.col("total") * F.col("below")
-        lower = materialize(parts.select("gram", p.alias("p")), "kn")
-        got = lower.select("gram", F.col("p").cast("float").alias("p")).toArrow()
-        weights = totals.select("context", (F.col("held") / F.col("total")).cast("float").alias("w")).toArrow()
-        out.append((got["gram"].to_numpy(), got["p"].to_numpy(), weights["context"].to_numpy(), weights["w"].to_numpy()))
-    return out
+            shorter = below.select(F.col("context").alias("suffix"), "symbol", F.col("p").alias("below"))
+            parts = parts.withColumn("suffix", F.col("context") % CODES ** (k - 2)).join(shorter, ["suffix", "symbol"])
+        p = F.coalesce((F.col("c") - _discount(d)) / F.col("total"), F.lit(0.0)) + F.coalesce(F.col("held") / F.col("total"), F.lit(1.0)) * F.col("below")
+        below = materialize(parts.select("context", "symbol", p.alias("p")), "kn")
+    return below
 
 
-#: The last model that a worker has laid out, by name.
-_TABLES: dict[str, np.ndarray] = {}
+class _Rows:
+    """log p of all symbols, a row for each context of four-grams that was seen, in order."""
 
+    def __init__(self, table: SmallTable) -> None:
+        self.table = table
 
-def log_table(model: list) -> np.ndarray:
-    """log p of every four-gram, dense: 64 MB."""
-    below = np.full(1, 1 / CODES, np.float32)
-    for k, (ids, p, contexts, weights) in enumerate(model, 1):
-        w = np.ones(CODES ** (k - 1), np.float32)
-        w[contexts] = weights
-        below = below.reshape(-1, CODES) if k > 1 else below  # by suffix context and symbol
-        dense = (w.reshape(CODES if k > 1 else 1, -1, 1) * (below[None] if k > 1 else 1 / CODES * np.ones((1, 1, CODES), np.float32))).reshape(-1)
-        dense[ids] = p
-        below = dense
-    return np.log(below, out=below)
+    def __getitem__(self, which: slice) -> np.ndarray:
+        return np.log(np.stack([self.table.row(context) for context in sorted(self.table.totals[-1])[which]]))
 
 
-def perplexities(docs: DataFrame, model: list) -> DataFrame:
-    """(doc_id, lang, perplexity) for every row; a null or empty text has none."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    sent = spark.sparkContext.broadcast(model)
+class SmallTable:
+    """A model that fits into memory, for a look at single probabilities; queries don't use it."""
+
+    def __init__(self, model: Model) -> None:
+        self.totals = [{r["context"]: (r["total"], r["held"]) for r in totals.collect()} for _, totals, _ in model]
+        self.shares: list[dict[int, dict[int, float]]] = []
+        for (seen, _, d), totals in zip(model, self.totals, strict=True):
+            shares: dict[int, dict[int, float]] = {}
+            for r in seen.collect():
+                shares.setdefault(r["context"], {})[r["symbol"]] = (r["c"] - d[min(r["c"], 3) - 1]) / totals[r["context"]][0]
+            self.shares.append(shares)
+
+    def row(self, context: int) -> np.ndarray:
+        out = np.full(CODES, 1 / CODES)
+        for k, (totals, shares) in enumerate(zip(self.totals, self.shares, strict=True), 1):
+            at = context % CODES ** (k - 1)
+            if at in totals:
+                out *= totals[at][1] / totals[at][0]
+                out[list(shares[at])] += list(shares[at].values())
+        return out
+
+    def __getitem__(self, gram: int) -> float:
+        return math.log(self.row(gram // CODES)[gram % CODES])
+
+    def reshape(self, *shape: int) -> _Rows:
+        if shape != (-1, CODES):
+            raise ValueError("rows of all symbols only")
+        return _Rows(self)
 
-    name = uuid.uuid4().hex
+
+def log_table(model: Model) -> SmallTable:
+    """log p of any four-gram of a small model."""
+    return SmallTable(model)
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """(block, packed, context, symbol): a row for each block with its packed rows of ``docs``, and one for each of its different four-grams."""
+    kind = pa.schema([("block", pa.int64()), ("packed", pa.binary()), ("context", pa.int64()), ("symbol", pa.int32())])
+
+    names = ["context", "symbol"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _TABLES:
-            _TABLES.clear()
-            _TABLES[name] = log_table(sent.value)
-        table = _TABLES[name]
+        block, size = TaskContext.get().partitionId() << 32, 0
+        sink = stream = None
+        held: list[pa.Table] = []
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            stream.close()
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([block], [sink.getvalue().to_pybytes()], [None], [None]), kind, strict=True)], schema=kind)
+            if held:
+                for part in pa.concat_tables(held).group_by(names, use_threads=False).aggregate([]).to_batches():
+                    n = len(part)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.nulls(n, pa.binary()), part["context"], part["symbol"]], schema=kind)
+
         for batch in batches:
-            out = [float(np.exp(-table[grams(x)].mean(dtype=np.float64))) if x else None for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=["doc_id", "lang", "perplexity"])
+            if stream is None:
+                sink, held, size = pa.BufferOutputStream(), [], 0
+                stream = pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+            stream.write_batch(batch)
+            if texts := [x for x in batch.column(2).to_pylist() if x]:
+                held.append(pa.Table.from_arrays([pa.array(x) for x in _distinct(texts)[:2]], names=names))
+            size += batch.column(2).nbytes
+            if size >= BLOCK:
+                yield from sent()
+                block, stream = block + 1, None
+        if stream is not None:
+            yield from sent()
+
+    return pick(docs, "doc_id", "lang", "text").mapInArrow(run, "block long, packed binary, context long, symbol int")
+
+
+def perplexities(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, lang, perplexity) for every row; a null or empty text has none."""
+    small_batches(docs.sparkSession)
+    blocks = materialize(_blocks(docs), "blocks")
+    asked = blocks.where("packed is null").select(F.col("block").alias("of"), "context", "symbol")
+    answers = asked.join(probabilities(asked, model), ["context", "symbol"]).select("of", "context", "symbol", F.log("p").alias("p"))
+
+    def score(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        context, symbol = answers["context"].to_numpy(), answers["symbol"].to_numpy()
+        known = [context // CODES**2, context // CODES % CODES, context % CODES, symbol]
+        key = _coder(known)
+        known = key(known)
+        order = np.argsort(known)
+        known, p = known[order], answers["p"].to_numpy()[order]
+        parts = []
+        for batch in (b for x in packed["packed"].to_pylist() for b in pa.ipc.open_stream(x)):
+            texts = batch.column(2).to_pylist()
+            out = np.full(len(texts), np.nan)
+            there = [i for i, x in enumerate(texts) if x]
+            if there:
+                four, sizes = _windows([texts[i] for i in there])
+                out[there] = np.exp(-np.add.reduceat(p[np.searchsorted(known, key(four))], np.cumsum(sizes) - sizes) / sizes)
+            parts.append(pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64(), from_pandas=True)], names=["doc_id", "lang", "perplexity"]))
+        return pa.Table.from_batches(parts)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return pick(docs, "doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind}, lang string, perplexity double")
+    texts = blocks.where("packed is not null").select("block", "packed").groupBy("block")
+    return texts.cogroup(answers.groupBy("of")).applyInArrow(score, f"doc_id {kind}, lang string, perplexity double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:

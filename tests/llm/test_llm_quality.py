@@ -114,3 +114,33 @@ def test_odd_tables(spark):
     assert all(r["perplexity"] is None and not r["keep"] for r in got if r["doc_id"] in (2, 3))
     assert Q.classify(docs.limit(0), labels).count() == 0
     assert all(r["keep"] == (r["perplexity"] is not None) for r in Q.classify(docs, labels.limit(0)).collect())
+
+
+def test_no_two_characters_share_a_symbol(spark):
+    """Texts that differ in one character have perplexities of their own, under counts that tell the characters apart."""
+    texts = ["ABCABC ABC", "éà éà éà", "дом дом", "漢字 漢字", "\0a\0a", "😀 1 2 1"]
+    letters = "ABéQàдм漢字\0😀12#+"
+    assert len({Q.grams(c)[0] for c in letters}) == len(letters)
+    docs = [(i, t, "en") for i, t in enumerate(texts * 2)] + [(100 + i, t, "en") for i, t in enumerate(["ABC", "BCA", "QQQ", "é", "à", "ù", "漢", "1 2", "2 1", "+", "#"])]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    p = slow_model(texts)
+    got = {r["doc_id"]: r["perplexity"] for r in Q.perplexities(df, Q.fit(spark.createDataFrame([(t,) for t in texts], "text string"))).collect()}
+    for d, t, _ in docs:
+        g = [tuple(x // Q.CODES**i % Q.CODES for i in range(3, -1, -1)) for x in Q.grams(t)]
+        assert g[0] == (0, 0, 0, ord(t[0]) + 1)
+        assert got[d] == pytest.approx(math.exp(-sum(math.log(p(x)) for x in g) / len(g)), rel=1e-9)
+    assert len({round(got[100 + i], 6) for i in (0, 1, 2)}) == 3
+
+
+def test_blocks_and_large_alphabets_change_nothing(spark, monkeypatch):
+    many = "".join(chr(c) for c in range(0x20000, 0x20000 + 60_000))  # more than keys of 63 bits can hold
+    texts = [*TEXTS, many, None, "", "the cat"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang").coalesce(1)
+    model = Q.fit(df)
+    one = {r["doc_id"]: r["perplexity"] for r in Q.perplexities(df, model).collect()}
+    monkeypatch.setattr(Q, "BLOCK", 1)
+    monkeypatch.setattr(Q, "small_batches", lambda spark: spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1"))
+    two = {r["doc_id"]: r["perplexity"] for r in Q.perplexities(df, model).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    assert set(one) == set(two) == set(range(len(texts))) and one[len(TEXTS) + 1] is None
+    assert all(one[d] == pytest.approx(two[d], rel=1e-12) if one[d] else two[d] is None for d in one)
