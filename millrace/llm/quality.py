@@ -4,11 +4,11 @@ The model has order four over code points as they are: no two characters share
 a symbol, so it grows with what it is trained on, and it stays in tables.  Counts
 come from all trusted texts: each task sums its own, the sums are combined by
 n-gram.  Texts are dealt into blocks; the different four-grams of each block are
-joined to the counts of n-grams and contexts of all orders, and the answers meet
-the block's texts, which are packed for the way, so that each text is scored
-whole.  A text is kept if its perplexity is no more than a quantile of trusted
-texts of its language that the model hasn't seen: half of them train it, and the
-other half gives the quantiles.
+joined to the counts of n-grams and contexts of all orders, and the answers go
+to where the block's texts lie, packed and in buckets, so that each text is
+scored whole and written once.  A text is kept if its perplexity is no more than
+a quantile of trusted texts of its language that the model hasn't seen: half of
+them train it, and the other half gives the quantiles.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import materialize, pick, scratch, settled, small_batches
+from millrace.llm.shared import in_buckets, materialize, pick, scratch, settled, small_batches
 
 ORDER = 4
 #: Symbols: each code point plus one; 0 pads and ends a text.  Three of them fit into 63 bits.
@@ -252,8 +252,8 @@ def _blocks(docs: DataFrame) -> DataFrame:
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang, perplexity) for every row; a null or empty text has none."""
     small_batches(docs.sparkSession)
-    blocks = materialize(_blocks(docs), "blocks")
-    asked = blocks.where("packed is null").select(F.col("block").alias("of"), "context", "symbol")
+    blocks = in_buckets(_blocks(docs), "blocks", "block")
+    asked = blocks.where("context is not null").select(F.col("block").alias("of"), "context", "symbol")
     answers = asked.join(probabilities(asked, model), ["context", "symbol"]).select("of", "context", "symbol", F.log("p").alias("p"))
 
     def score(packed: pa.Table, answers: pa.Table) -> pa.Table:

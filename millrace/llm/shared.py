@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.sources import work
 from millrace.sources.work import drop_path, written
 
-__all__ = ["drop_path", "fresh_path", "materialize", "pick", "scratch", "settled", "small_batches", "table", "written"]
+__all__ = ["drop_path", "fresh_path", "in_buckets", "materialize", "pick", "scratch", "settled", "small_batches", "table", "written"]
 
 #: Rows of an Arrow batch handed to Python.  Texts are long, so a batch stays small.
 BATCH_ROWS = 512
@@ -58,6 +58,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return written(df, fresh_path(df.sparkSession, label))
 
 
+def in_buckets(df: DataFrame, label: str, column: str) -> DataFrame:
+    """:func:`materialize` in as many buckets by ``column`` as a shuffle has partitions: what groups by it reads a bucket in a task, and moves no row.
+
+    Spark keeps buckets of named tables only; the name is gone when this
+    returns, the files go with the other tables.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    name = path.rpartition("/")[2].replace("-", "_")
+    df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).saveAsTable(name)
+    try:
+        return spark.table(name)
+    finally:
+        spark.sql(f"drop table {name}")
+
+
 def settled(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
     """:func:`materialize` of what ``make`` gives; the tables that it made on the way are removed."""
     path = fresh_path(spark, label)

@@ -144,3 +144,16 @@ def test_blocks_and_large_alphabets_change_nothing(spark, monkeypatch):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     assert set(one) == set(two) == set(range(len(texts))) and one[len(TEXTS) + 1] is None
     assert all(one[d] == pytest.approx(two[d], rel=1e-12) if one[d] else two[d] is None for d in one)
+
+
+def test_packed_texts_are_written_once(spark, monkeypatch):
+    """Only answers move to the texts: no exchange by block, whatever the number of blocks, and no named table is left."""
+    monkeypatch.setattr(Q, "BLOCK", 1)
+    texts = [f"{t} {i}" for i in range(40) for t in TEXTS]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang").repartition(20)
+    tables = spark.catalog.listTables()
+    found = Q.perplexities(df, Q.fit(df))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Bucketed: true" in plan and "hashpartitioning(block" not in plan
+    assert sorted(r["doc_id"] for r in found.collect()) == list(range(len(texts)))
+    assert spark.catalog.listTables() == tables
