@@ -76,3 +76,10 @@ def test_markdown():
     for part in ("## T", "a **bold** _it_ [l](/x) ![p](i.png)", "* one", "1. n", "a | b\n---|---\n1 | 2", "```\nx\n  y\n```", "> q", "c < d"):
         assert part in got
     assert M.html_to_markdown("") == "" and M.html_to_markdown(None) == ""
+
+
+CUT = '<title>token = &quot</title><article><h1>a token = &quot</h1><p>&lt b &amp c &quot;d&quot; &eacute; &#233; %s</p></article>' % LONG
+
+
+def test_main_content_keeps_references_that_were_cut_off():
+    assert M.main_content(CUT) == f'<article><h1>a token = &amp;quot</h1><p>&amp;lt b &amp; c "d" é é {LONG}</p></article>'
