@@ -83,3 +83,7 @@ CUT = '<title>token = &quot</title><article><h1>a token = &quot</h1><p>&lt b &am
 
 def test_main_content_keeps_references_that_were_cut_off():
     assert M.main_content(CUT) == f'<article><h1>a token = &amp;quot</h1><p>&amp;lt b &amp; c "d" é é {LONG}</p></article>'
+
+
+def test_markdown_keeps_references_that_were_cut_off():
+    assert M.html_to_markdown(M.main_content(CUT)) == f'# a token = &quot\n\n&lt b & c "d" é é {LONG}\n'
