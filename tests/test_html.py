@@ -87,3 +87,8 @@ def test_main_content_keeps_references_that_were_cut_off():
 
 def test_markdown_keeps_references_that_were_cut_off():
     assert M.html_to_markdown(M.main_content(CUT)) == f'# a token = &quot\n\n&lt b & c "d" é é {LONG}\n'
+
+
+def test_sections_keep_references_that_were_cut_off():
+    (got,) = H.page_chunks("u", CUT)
+    assert (got["title"], got["heading"], got["content"]) == ("token = &quot", "a token = &quot", f'a token = &quot\n\n&lt b & c "d" é é {LONG}')
