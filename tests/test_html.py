@@ -92,3 +92,7 @@ def test_markdown_keeps_references_that_were_cut_off():
 def test_sections_keep_references_that_were_cut_off():
     (got,) = H.page_chunks("u", CUT)
     assert (got["title"], got["heading"], got["content"]) == ("token = &quot", "a token = &quot", f'a token = &quot\n\n&lt b & c "d" é é {LONG}')
+
+
+def test_titles_keep_references_that_were_cut_off():
+    assert H.page_title(html.parse(CUT)) == "token = &quot"
