@@ -7,7 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 
 def origin(url: Column) -> Column:
@@ -38,16 +38,22 @@ def in_scope(url: Column, base: Column | str, page: Column | None = None) -> Col
     return ok & (url != page) if page is not None else ok
 
 
+def joined(page: str | None, href: str | None) -> str | None:
+    if page is None or href is None:
+        return None
+    try:
+        return urljoin(page, href)
+    except ValueError:
+        return None
+
+
 @F.pandas_udf(StringType())
 def resolve(page: pd.Series, href: pd.Series) -> pd.Series:
     """``href`` as seen from ``page``; null where it can't be read."""
+    return pd.Series([joined(a, b) for a, b in zip(page, href, strict=True)], dtype="object")
 
-    def one(a: str | None, b: str | None) -> str | None:
-        if a is None or b is None:
-            return None
-        try:
-            return urljoin(a, b)
-        except ValueError:
-            return None
 
-    return pd.Series([one(a, b) for a, b in zip(page, href, strict=True)], dtype="object")
+@F.pandas_udf(ArrayType(StringType()))
+def resolve_all(page: pd.Series, hrefs: pd.Series) -> pd.Series:
+    """:func:`resolve` of each of a page's ``hrefs``."""
+    return pd.Series([None if bs is None else [joined(a, b) for b in bs] for a, bs in zip(page, hrefs, strict=True)], dtype="object")

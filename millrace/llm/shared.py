@@ -9,29 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.sources import work
-from millrace.sources.work import drop_path, written
+from millrace.sources.work import drop_path, small_batches, written
 
 __all__ = ["drop_path", "fresh_path", "in_buckets", "materialize", "pick", "scratch", "settled", "small_batches", "table", "written"]
 
-#: Rows of an Arrow batch handed to Python.  Texts are long, so a batch stays small.
-BATCH_ROWS = 512
-_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Python worker holds at a time.
-
-    Plans read the setting when they run, so it can't be put back before; a
-    session that asks for smaller batches keeps its own.
-    """
-    if not 0 < int(spark.conf.get(_SETTING)) <= BATCH_ROWS:
-        spark.conf.set(_SETTING, str(BATCH_ROWS))
-
-
 #: Paths of tables that are still there, in the order in which they were asked for.
 _MADE: list[str] = []
 

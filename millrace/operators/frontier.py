@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.urls import in_scope, resolve
+from millrace.functions.text import each
+from millrace.functions.urls import in_scope, resolve_all
 from millrace.schemas import FRONTIER
 
 PENDING, IN_PROGRESS, COMPLETED, ERROR = STATUSES = ("pending", "in_progress", "completed", "error")
@@ -26,10 +27,14 @@ def challenge(html: Column) -> Column:
     return F.when(has(LOADING), "loading").when(has(CAPTCHA), "captcha").otherwise("")
 
 
-def discover(pages: DataFrame, links: Column, base: Column | str) -> DataFrame:
-    """Distinct URLs below ``base`` that ``pages`` (url) link to."""
+def discover(pages: DataFrame, links: Column, base: Column | str, resolved: bool = False) -> DataFrame:
+    """Distinct URLs below ``base`` that ``pages`` (url) link to; ``resolved`` says that the links are whole URLs.
+
+    A page's links are resolved together and before they are rows, so that no
+    filter on them has Python do its work a second time.
+    """
     base = F.lit(base) if isinstance(base, str) else base
-    rows = pages.select("url", base.alias("base"), F.explode(links).alias("href")).withColumn("found", resolve("url", "href"))
+    rows = each(pages.withColumn("__base", base), links if resolved else resolve_all(F.col("url"), links), "__pos", "found", "url", "__base").withColumnRenamed("__base", "base")
     return rows.where(in_scope(F.col("found"), F.col("base"), F.col("url"))).select(F.col("found").alias("url")).distinct()
 
 

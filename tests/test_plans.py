@@ -37,3 +37,9 @@ def test_columns_are_pruned(spark, small):
 
 def test_top_k_is_cut_before_the_shuffle(spark, small):
     assert "WindowGroupLimit" in physical(registry.queries()["knn_cosine_topk"](spark, small))
+
+
+@pytest.mark.parametrize("name", ["frontier_wave", "html_links"])
+def test_pages_are_parsed_in_one_step_of_python(spark, small, name):
+    text = registry.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("EvalPython", text)) == 1
