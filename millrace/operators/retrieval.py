@@ -128,6 +128,11 @@ def source_lines(hits: DataFrame, streaming: bool = False) -> DataFrame:
     return _in_order(hits, {"sources": (_source_line(streaming), "\n")})
 
 
+def source_blocks(hits: DataFrame) -> DataFrame:
+    """(query_id, sources, stream_sources): both forms of :func:`source_lines`, in one pass over the hits."""
+    return _in_order(hits, {"sources": (_source_line(False), "\n"), "stream_sources": (_source_line(True), "\n")})
+
+
 def answer_text(answer: Column, sources: Column, reranked: bool) -> Column:
     head, tail = SOURCES_HEAD
     return F.concat(answer, F.lit(head + METHODS[0 if reranked else 1] + tail), F.lit("\n"), sources)

@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from millrace.functions.vectors import EPSILON
+from millrace.sources.work import empty
 
 #: Bytes of query vectors that are sent to the tasks at once.
 BLOCK_BYTES = 16 << 20
 #: Scores that a task works out at once, of eight bytes each.
 SCORES = 1 << 22
+#: Bytes of vectors that a task compares at once, however small its batches are.
+ROW_BYTES = 4 << 20
 #: Decimals that count in ranking, so that the order of additions doesn't.
 RANK_DECIMALS = 9
 
@@ -38,6 +41,22 @@ def _rows(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
     return places, flat[at[places][:, None] + np.arange(dimension)]
 
 
+def _together(batches: Iterator[pa.RecordBatch], dimension: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of the rows that can be compared, of as many batches at once as make about :data:`ROW_BYTES`."""
+    ids: list[np.ndarray] = []
+    held: list[np.ndarray] = []
+    for batch in batches:
+        places, v = _rows(batch.column(1), dimension)
+        if len(places):
+            ids.append(batch.column(0).to_numpy(zero_copy_only=False)[places])
+            held.append(v)
+        if sum(x.nbytes for x in held) >= ROW_BYTES:
+            yield np.concatenate(ids), np.concatenate(held)
+            ids, held = [], []
+    if held:
+        yield np.concatenate(ids), np.concatenate(held)
+
+
 def _score(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
     """Higher is nearer: cosine, or the negative squared distance."""
     if metric == "cosine":
@@ -102,18 +121,14 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosin
     id are rows.
     """
     spark = vectors.sparkSession
-    found = spark.createDataFrame([], HITS)
+    found = empty(spark, HITS)
     for ids, block in _blocks(queries, qid, vector):
         sent = spark.sparkContext.broadcast((np.array(ids), block))  # BLOCK_BYTES
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, q = sent.value
             best = _Best(len(q), k)
-            for batch in batches:
-                places, v = _rows(batch.column(1), q.shape[1])
-                if not len(places):
-                    continue  # none of them can be compared
-                vid_ = batch.column(0).to_numpy(zero_copy_only=False)[places]
+            for vid_, v in _together(batches, q.shape[1]):
                 best.compare(np.arange(len(q)), q, v, vid_, metric)
             yield _hits(names, best)
 
@@ -180,7 +195,7 @@ def nearest_in_cells(queries: DataFrame, indexed: DataFrame, centers: np.ndarray
     many rows for many tasks.
     """
     spark = indexed.sparkSession
-    found = spark.createDataFrame([], HITS)
+    found = empty(spark, HITS)
     for ids, block in _blocks(queries, qid, vector):
         if block.shape[1] != centers.shape[1]:
             continue  # no row of this dimension has a cell

@@ -43,3 +43,13 @@ def test_top_k_is_cut_before_the_shuffle(spark, small):
 def test_pages_are_parsed_in_one_step_of_python(spark, small, name):
     text = registry.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall("EvalPython", text)) == 1
+
+
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@pytest.mark.parametrize("name", ["threshold_search"])
+def test_texts_reach_python_in_small_batches(spark, small, name):
+    spark.conf.set(BATCH, "10000")
+    registry.queries()[name](spark, small)
+    assert int(spark.conf.get(BATCH)) <= 512

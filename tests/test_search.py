@@ -1,7 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import providers
 from millrace.functions import vectors as V
 from millrace.operators import search as S
 
@@ -76,3 +78,19 @@ def test_queries_of_several_lengths(spark, monkeypatch):
     for r in S.nearest(q, v, 2).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["id"])
     assert got == {1: [1, 7], 2: [2, 7], 3: [3, 4], 4: [4, 3], 7: [7, 1]}
+
+
+def test_tokens_of_few_texts_are_held_at_once(monkeypatch):
+    texts = ["a b c", None, "", "d" * 30, "a a", "e f"]
+    whole = providers.HashingEmbedder(8).encode(texts)
+    monkeypatch.setattr(providers, "MOST_CHARS", 10)
+    assert [list(r) for r in providers._runs(texts)] == [["a b c", None, ""], ["d" * 30], ["a a", "e f"]]
+    assert (providers.HashingEmbedder(8).encode(texts) == whole).all() and whole.sum(axis=1).tolist() == [3, 0, 0, 1, 2, 2]
+    assert providers.HashingEmbedder(8).encode([]).shape == (0, 8)
+
+
+def test_small_batches_are_compared_together(monkeypatch):
+    batch = lambda *ids: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([[float(i)] * 2 if i % 5 else None for i in ids], pa.list_(pa.float32()))], names=["i", "v"])
+    monkeypatch.setattr(S, "ROW_BYTES", 48)
+    got = [(i.tolist(), v[:, 0].tolist()) for i, v in S._together(iter([batch(1, 2), batch(5), batch(3, 4), batch(6)]), 2)]
+    assert got == [([1, 2, 3, 4], [1, 2, 3, 4]), ([6], [6])]
