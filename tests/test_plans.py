@@ -48,7 +48,7 @@ def test_pages_are_parsed_in_one_step_of_python(spark, small, name):
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-@pytest.mark.parametrize("name", ["threshold_search", "prompt_assembly", "asked_question", "answers", "one_stage_search", "fallback_embedding"])
+@pytest.mark.parametrize("name", ["threshold_search", "prompt_assembly", "asked_question", "answers", "one_stage_search", "fallback_embedding", "size_chunk_stats"])
 def test_texts_reach_python_in_small_batches(spark, small, name):
     spark.conf.set(BATCH, "10000")
     registry.queries()[name](spark, small)
