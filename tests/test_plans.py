@@ -53,3 +53,8 @@ def test_texts_reach_python_in_small_batches(spark, small, name):
     spark.conf.set(BATCH, "10000")
     registry.queries()[name](spark, small)
     assert int(spark.conf.get(BATCH)) <= 512
+
+
+def test_hits_are_searched_once_for_both_forms_of_their_sources(spark, small):
+    text = registry.queries()["source_block"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("MapInArrow", text)) == 1
