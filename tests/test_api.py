@@ -143,3 +143,15 @@ def test_tables_of_images(spark, folder):
     assert [i["found"] for i in got["images"]] == [True, False] and got["links"] == []
     plain, _ = files.read_chunks(scan)
     assert plain.where("heading = 'Contenu multimédia'").first()["content"].endswith("\n\ncell")
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for i in range(600):
+        (tmp_path / f"{i}.md").write_text("x")
+    assert files.scan(spark, str(tmp_path)).rdd.getNumPartitions() < 12
+
+
+def test_errors_outlast_the_files(spark, folder, tmp_path):
+    _, errors = api.index_folder(spark, str(folder), f"{tmp_path}/index")
+    (folder / "x.pdf").unlink()
+    assert [r["file_path"].rpartition("/")[2] for r in errors.collect()] == ["x.pdf"]
