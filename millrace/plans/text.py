@@ -9,6 +9,7 @@ from millrace.functions import text as T
 from millrace.operators import chunking, images, markdown, metadata, pages
 from millrace.plans.fixtures import MARKDOWN_DOCS, PAGE_TEXTS, SPACED_DOCS, STRIP, WINDOWS, markdown_docs, page_texts, spaced_docs, table, windows
 from millrace.providers import HashingEmbedder
+from millrace.sources.work import fresh_path, written
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,9 +109,12 @@ def markdown_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _image_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """References of all derived documents, and a file for two thirds of the names: beside the documents or in a folder below."""
+    """References of all derived documents, and a file for two thirds of the names: beside the documents or in a folder below.
+
+    Written once, as the names of the files come from the references.
+    """
     docs = markdown_docs(_docs(spark, sf_dir)).withColumnRenamed("path", "source_file")
-    rows = T.each(docs, markdown.images(F.col("text")), "pos", "i", "source_file").select("source_file", "pos", "i.*")
+    rows = written(T.each(docs, markdown.images(F.col("text")), "pos", "i", "source_file").select("source_file", "pos", "i.*"), fresh_path(spark, "references"))
     kind = F.conv(F.substring(F.md5("src"), 1, 1), 16, 10).cast("int") % 3
     names = rows.select("src").distinct().where(~F.contains("src", F.lit("/")))
     files = names.select(F.when(kind == 0, F.concat(F.lit("docs/"), "src")).when(kind == 1, F.concat(F.lit("docs/img/"), "src")).alias("path"))

@@ -58,3 +58,8 @@ def test_texts_reach_python_in_small_batches(spark, small, name):
 def test_hits_are_searched_once_for_both_forms_of_their_sources(spark, small):
     text = registry.queries()["source_block"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall("MapInArrow", text)) == 1
+
+
+def test_image_references_are_made_and_read_once(spark, small):
+    text = registry.queries()["image_resolution"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in text and len(re.findall(r"Relation \[source_file", text)) <= 3  # references, and twice the names of files
